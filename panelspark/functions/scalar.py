@@ -167,11 +167,20 @@ def level_bucket(pred: str | Column) -> Column:
 
 
 def own_bin(goals: str | Column) -> Column:
-    return F.least(col(goals).cast("int"), F.lit(4))
+    return F.when(col(goals).isNotNull(), F.least(col(goals).cast("int"), F.lit(4)))
 
 
 def conceded_bin(goals: str | Column) -> Column:
-    return F.least(col(goals).cast("int"), F.lit(3))
+    return F.when(col(goals).isNotNull(), F.least(col(goals).cast("int"), F.lit(3)))
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows with both values; NaN where one does not vary."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(F.count_if(both) > 0, F.coalesce(
+        F.try_divide(F.covar_pop(x, y), spread), F.lit(float("nan"))))
 
 
 # --- Gaussian terms -----------------------------------------------------------

@@ -121,20 +121,20 @@ def driver_correlations(df: DataFrame, drivers: Sequence[str], target: str,
                         group: str | None = None) -> DataFrame:
     """Pearson correlation of every driver with the target, one scan, one row per driver."""
     keys = [group] if group else []
-    wide = df.groupBy(*keys).agg(*[F.corr(F.col(d).cast("double"), F.col(target)).alias(d)
+    wide = df.groupBy(*keys).agg(*[X.correlation(d, target).alias(d)
                                    for d in drivers])
     return wide.unpivot(keys, list(drivers), "feature", "r")
 
 
 def driver_correlations_wide(df: DataFrame, drivers: Sequence[str], target: str,
                              group: str) -> DataFrame:
-    return df.groupBy(group).agg(*[F.corr(F.col(d).cast("double"), F.col(target)).alias(d)
+    return df.groupBy(group).agg(*[X.correlation(d, target).alias(d)
                                    for d in drivers])
 
 
 def collinearity(df: DataFrame, drivers: Sequence[str]) -> DataFrame:
     """Correlation of every ordered pair of drivers, one scan."""
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+    wide = df.agg(*[X.correlation(a, b)
                     .alias(f"c_{i}_{j}")
                     for i, a in enumerate(drivers) for j, b in enumerate(drivers) if i < j])
 
@@ -297,7 +297,7 @@ def match_total_correlation(panel: DataFrame, players: DataFrame,
                       F.col("own_total").alias("away_pts"))
     return (matches.select("gw", "home_team", "away_team").join(home, ["gw", "home_team"])
             .join(away, ["gw", "away_team"])
-            .agg(F.corr("home_pts", "away_pts").alias("r"), F.count(F.lit(1)).alias("n")))
+            .agg(X.correlation("home_pts", "away_pts").alias("r"), F.count(F.lit(1)).alias("n")))
 
 
 def _club_states(matches: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def spearman_by_period(df: DataFrame, group: str = "gw",
     ranked = scale.with_value_ranks(ranked, [group], "pred", "p", min_rows=min_rows)
     rank = lambda p: F.col(f"{p}_before") + (F.col(f"{p}_eq") + 1) / 2.0
     return (ranked.groupBy(group)
-            .agg(F.corr(rank("a"), rank("p")).alias("rho"), F.count(F.lit(1)).alias("n"))
+            .agg(X.correlation(rank("a"), rank("p")).alias("rho"), F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= 2))
 
 
@@ -103,9 +103,9 @@ def calibration_bins(df: DataFrame, bins: int = 10,
     """Mean forecast and outcome per bin between forecast quantiles; empty bins are absent."""
     edges = scale.exact_quantiles(df, [], "pred", [i / bins for i in range(bins + 1)], "e",
                                   min_rows=min_rows).scalar()
-    return (df.withColumn("bin", F.size(F.filter(F.slice(edges, 1, bins),
-                                                 lambda e: e <= F.col("pred"))))
-            .groupBy("bin")
+    lower = F.filter(F.slice("__edges", 1, bins), lambda e: e <= F.col("pred"))
+    return (df.select("pred", "actual", edges.alias("__edges"))
+            .withColumn("bin", F.size(lower)).groupBy("bin")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"),
                  F.avg("actual").alias("mean_actual")))
 
