@@ -206,10 +206,11 @@ def position_baselines(panel: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def quartile_table(df: DataFrame, bucket_by: str, target: str, group: str = "position",
-                   *, min_rows: int | None = None) -> DataFrame:
+                   *, min_rows: int | None = None,
+                   check: scale.SizeCheck | None = None) -> DataFrame:
     """Mean target per group and quartile of another column."""
     cuts = scale.exact_quantiles(df, [], bucket_by, (0.25, 0.5, 0.75), "cuts",
-                                 min_rows=min_rows).scalar()
+                                 min_rows=min_rows, check=check).scalar()
     b = F.col(bucket_by)
     quarter = (F.when(b < F.get(cuts, F.lit(0)), 1).when(b < F.get(cuts, F.lit(1)), 2)
                .when(b < F.get(cuts, F.lit(2)), 3).otherwise(4))

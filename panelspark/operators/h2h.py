@@ -99,7 +99,7 @@ def expected_record(squad_dist: DataFrame, *, block_rows: int = 512) -> DataFram
     wins = _expected_wins("cells.sample_mean", "cells.sample_std", "rivals.sample_mean",
                           "rivals.sample_std", "rivals.n")
     per_cell = (
-        left.join(right, ["gw", "other"]).select("gw", "cells", wins.alias("wins"))
+        scale.spread(left, "gw", "other").join(right, ["gw", "other"]).select("gw", "cells", wins.alias("wins"))
         .select("gw", F.explode(F.arrays_zip("cells", "wins")).alias("z"))
         .groupBy("gw", F.col("z.cells.sample_mean").alias("sample_mean"),
                  F.col("z.cells.sample_std").alias("sample_std"))
@@ -145,8 +145,8 @@ def sampled_totals(basket: DataFrame, vectors: DataFrame, *, n_samples: int = 10
     uniform = F.pmod(F.xxhash64(F.lit(seed), "team_id", "gw", "player_code", "draw"),
                      F.lit(1 << 53)) / float(1 << 53)
     draws = (
-        basket.select("team_id", "player_code").join(
-            vectors.select("player_code", "gw", "vector"), "player_code")
+        scale.spread(basket.select("team_id", "player_code").join(
+            vectors.select("player_code", "gw", "vector"), "player_code"), "team_id", "gw")
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
         .withColumn("u", uniform)
         .groupBy("team_id", "gw", "draw")

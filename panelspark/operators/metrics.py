@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import scalar as X
@@ -44,8 +44,10 @@ def pinball(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
 def spearman_by_period(df: DataFrame, group: str = "gw",
                        *, min_rows: int | None = None) -> DataFrame:
     """Rank correlation per period with average ranks; periods of one row are left out."""
-    ranked = scale.with_value_ranks(df, [group], "actual", "a", min_rows=min_rows)
-    ranked = scale.with_value_ranks(ranked, [group], "pred", "p", min_rows=min_rows)
+    check = scale.size_check(df, [group], min_rows)
+    how = {"min_rows": min_rows, "check": check}
+    ranked = scale.with_value_ranks(df, [group], "actual", "a", **how)
+    ranked = scale.with_value_ranks(ranked, [group], "pred", "p", **how)
     rank = lambda p: F.col(f"{p}_before") + (F.col(f"{p}_eq") + 1) / 2.0
     return (ranked.groupBy(group)
             .agg(X.correlation(rank("a"), rank("p")).alias("rho"), F.count(F.lit(1)).alias("n"))
@@ -62,11 +64,18 @@ def concordance_by_period(df: DataFrame, group: str = "gw",
 
 
 def with_top_fraction(df: DataFrame, keys: Sequence[str], by: str, name: str,
-                      top: float = 0.10, tie: str = "player_code",
-                      *, min_rows: int | None = None) -> DataFrame:
+                      top: float = 0.10, tie: str = "player_code", *,
+                      min_rows: int | None = None,
+                      check: scale.SizeCheck | None = None) -> DataFrame:
     """Flag the first ``max(1, ceil(n * top))`` rows per group by ``by``, ties by key."""
+    check = check or scale.size_check(df, keys, min_rows)
+    if check.small:
+        group = Window.partitionBy(*keys)
+        place = F.row_number().over(group.orderBy(F.col(by).desc(), F.col(tie).asc()))
+        n = F.count(F.lit(1)).over(group)
+        return df.withColumn(name, place <= F.greatest(F.lit(1), F.ceil(n * float(top))))
     placed = scale.row_positions(df, keys, [(by, "desc"), (tie, "asc")], "__pos",
-                                 min_rows=min_rows)
+                                 min_rows=min_rows, check=check)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     k = F.greatest(F.lit(1), F.ceil(F.col("__n") * float(top)))
     return placed.join(sizes, list(keys)).withColumn(
@@ -76,8 +85,9 @@ def with_top_fraction(df: DataFrame, keys: Sequence[str], by: str, name: str,
 def topk_hit_rate(df: DataFrame, top: float = 0.10, group: str = "gw",
                   *, min_rows: int | None = None) -> DataFrame:
     """Share of the actual top rows that the forecast also put at the top, over all periods."""
-    both = with_top_fraction(df, [group], "actual", "a_top", top, min_rows=min_rows)
-    both = with_top_fraction(both, [group], "pred", "p_top", top, min_rows=min_rows)
+    how = {"min_rows": min_rows, "check": scale.size_check(df, [group], min_rows)}
+    both = with_top_fraction(df, [group], "actual", "a_top", top, **how)
+    both = with_top_fraction(both, [group], "pred", "p_top", top, **how)
     per = both.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("a_top") & F.col("p_top")).alias("hits"),
         F.count_if("a_top").alias("k")).where(F.col("n") >= 2)
@@ -141,11 +151,11 @@ def calibration_metrics(df: DataFrame, bins: int = 10,
 def with_cohorts(df: DataFrame, top: float = 0.10, position: str | None = "position",
                  *, min_rows: int | None = None) -> DataFrame:
     """Flags ``top10`` and ``top10_by_position``, read from forecasts alone."""
-    out = with_top_fraction(df, ["gw"], "pred", "top10", top, min_rows=min_rows)
+    how = {"min_rows": min_rows, "check": scale.size_check(df, ["gw"], min_rows)}
+    out = with_top_fraction(df, ["gw"], "pred", "top10", top, **how)
     if position is None:
         return out.withColumn("top10_by_position", F.lit(False))
-    return with_top_fraction(out, ["gw", position], "pred", "top10_by_position", top,
-                             min_rows=min_rows)
+    return with_top_fraction(out, ["gw", position], "pred", "top10_by_position", top, **how)
 
 
 def by_cohort(df: DataFrame, cohorts: Mapping[str, Column],
@@ -164,10 +174,10 @@ def cohort_metrics(df: DataFrame, top: float = 0.10,
 
 
 def top_fraction_by_average_rank(df: DataFrame, keys: Sequence[str], by: str, name: str,
-                                 top: float = 0.10,
-                                 *, min_rows: int | None = None) -> DataFrame:
+                                 top: float = 0.10, *, min_rows: int | None = None,
+                                 check: scale.SizeCheck | None = None) -> DataFrame:
     """Flag rows with average descending rank at most ``n * top`` (no minimum of one)."""
-    ranked = scale.with_value_ranks(df, keys, by, "__r", min_rows=min_rows)
+    ranked = scale.with_value_ranks(df, keys, by, "__r", min_rows=min_rows, check=check)
     above = F.col("__r_total") - F.col("__r_before") - F.col("__r_eq")
     rank = above + (F.col("__r_eq") + 1) / 2.0
     return ranked.withColumn(name, rank <= F.col("__r_total") * float(top)).drop(
@@ -192,9 +202,9 @@ def tail_comparison(fit: DataFrame, test: DataFrame, q: float,
     shared = whole.scalar()
     rows = test.join(grouped, list(keys), "left").withColumn(
         "residual_q", F.coalesce("residual_q", shared))
-    rows = top_fraction_by_average_rank(rows, ["gw"], "pred", "top10", min_rows=min_rows)
-    rows = top_fraction_by_average_rank(rows, ["gw", "position"], "pred", "top10_by_pos",
-                                        min_rows=min_rows)
+    how = {"min_rows": min_rows, "check": scale.size_check(test, ["gw"], min_rows)}
+    rows = top_fraction_by_average_rank(rows, ["gw"], "pred", "top10", **how)
+    rows = top_fraction_by_average_rank(rows, ["gw", "position"], "pred", "top10_by_pos", **how)
     arms = F.array(
         F.struct(F.lit("global").alias("arm"), (F.col("pred") + shared).alias("upper")),
         F.struct(F.lit("position+bucket").alias("arm"),

@@ -24,6 +24,7 @@ HOT_SHARE = 200
 SPLITS = 64
 MIN_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
+VALUES_IN_MEMORY = 100_000
 
 
 @dataclass(frozen=True)
@@ -43,11 +44,23 @@ class SizeCheck:
         return self.largest <= self.limit
 
 
+_ROWS_SEEN: dict[int, int] = {}
+
+
 def size_check(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> SizeCheck:
-    """Count rows and the largest group of ``keys`` (only the key columns are read)."""
+    """Count rows and the largest group of ``keys`` (only the key columns are read).
+
+    A table that was counted before and is small as a whole needs no second look. A count
+    that has become stale can only choose the slower of two exact ways.
+    """
     min_rows = MIN_ROWS if min_rows is None else min_rows
+    plan = df.semanticHash()
+    seen = _ROWS_SEEN.get(plan)
+    if seen is not None and seen <= min_rows:
+        return SizeCheck(seen, seen, min_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    _ROWS_SEEN[plan] = int(row["rows"] or 0)
     return SizeCheck(int(row["rows"] or 0), int(row["largest"] or 0), min_rows)
 
 
@@ -56,6 +69,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by ``keys``, as many as the session's shuffle partitions.
+
+    For steps that spend much time per byte: partitions sized by bytes would leave most
+    cores idle. A following groupBy on the keys needs no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in ``order``.
 
@@ -92,7 +115,7 @@ def _cut_points(cells: DataFrame, keys: Sequence[str], order: str, limit: int) -
              F.percentile_approx(F.col(order).cast("double"), levels, 1000).alias("__cuts"))
         .where(F.col("__n") > limit)
         .select(*[F.col(k).alias(f"__{k}") for k in keys],
-                F.array_sort(F.array_distinct("__cuts")).alias("__cuts"))
+                F.sort_array(F.array_distinct("__cuts")).alias("__cuts"))
     )
     # Taken once, so that every later stage and every retry uses the same cuts.
     rows = cuts.collect()
@@ -106,16 +129,15 @@ def running_before(
     sums: Mapping[str, str],
     *,
     min_rows: int | None = None,
-    bound: tuple[DataFrame, Sequence[str]] | None = None,
+    check: SizeCheck | None = None,
 ) -> DataFrame:
     """Per row: the sum of each measure over the rows of its group with a lower ``order``.
 
     ``cells`` holds one row per (keys, order) and ``order`` is numeric. ``sums`` maps a
     measure to a prefix; the result gains ``{prefix}_before`` and ``{prefix}_total``.
-    ``bound`` names a cheaper table whose group sizes are an upper bound for ours.
+    ``check`` is a size check of a table whose groups are at least as large as ours.
     """
     keys = list(keys)
-    check = size_check(*bound, min_rows) if bound else None
     if check is None or not check.small:
         check = size_check(cells, keys, min_rows)
 
@@ -164,8 +186,8 @@ def running_before(
     return cold.select(*done.columns).unionByName(done)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str,
-                *, min_rows: int | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *,
+                min_rows: int | None = None, check: SizeCheck | None = None) -> DataFrame:
     """One row per (keys, value): ``n_eq``, ``n_before`` (rows below), ``n_total``.
 
     Equal values are counted before the shuffle, so a value that fills a third of a
@@ -173,7 +195,8 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str,
     """
     cells = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
              .agg(F.count(F.lit(1)).alias("n_eq")))
-    return running_before(cells, keys, value, {"n_eq": "n"}, min_rows=min_rows)
+    check = check or size_check(df, keys, min_rows)
+    return running_before(cells, keys, value, {"n_eq": "n"}, min_rows=min_rows, check=check)
 
 
 def average_rank(descending: bool = False) -> Column:
@@ -183,14 +206,16 @@ def average_rank(descending: bool = False) -> Column:
     return below + (F.col("n_eq") + 1) / 2.0
 
 
-def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str,
-                     *, min_rows: int | None = None) -> DataFrame:
+def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str, *,
+                     min_rows: int | None = None,
+                     check: SizeCheck | None = None) -> DataFrame:
     """Every row with ``{prefix}_eq``, ``{prefix}_before`` and ``{prefix}_total``.
 
     ``{prefix}_total`` counts the rows of the group with a value.
     """
     keys = list(keys)
-    if size_check(df, keys, min_rows).small:
+    check = check or size_check(df, keys, min_rows)
+    if check.small:
         spec = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(value).asc_nulls_last())
         peers = spec.rangeBetween(Window.currentRow, Window.currentRow)
         whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -199,7 +224,7 @@ def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str
             f"{prefix}_total": F.count(value).over(whole),
             f"{prefix}_eq": F.count(value).over(peers),
         })
-    ranks = value_ranks(df, keys, value, min_rows=min_rows).select(
+    ranks = value_ranks(df, keys, value, min_rows=min_rows, check=check).select(
         *[F.col(k).alias(f"__{k}") for k in [*keys, value]],
         F.col("n_eq").alias(f"{prefix}_eq"), F.col("n_before").alias(f"{prefix}_before"),
         F.col("n_total").alias(f"{prefix}_total"))
@@ -210,8 +235,9 @@ def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str
 
 
 def row_positions(df: DataFrame, keys: Sequence[str],
-                  order: Sequence[tuple[str, str]], name: str,
-                  *, min_rows: int | None = None) -> DataFrame:
+                  order: Sequence[tuple[str, str]], name: str, *,
+                  min_rows: int | None = None,
+                  check: SizeCheck | None = None) -> DataFrame:
     """Zero-based position of every row in its group.
 
     ``order`` lists ``(column, 'asc' | 'desc')`` with non-null numeric columns and ends
@@ -219,14 +245,16 @@ def row_positions(df: DataFrame, keys: Sequence[str],
     column at a time: rows with a better value come first, ties go on to the next one.
     """
     keys = list(keys)
-    if size_check(df, keys, min_rows).small:
+    check = check or size_check(df, keys, min_rows)
+    if check.small:
         spec = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(
             *[F.col(c).desc() if how == "desc" else F.col(c).asc() for c, how in order])
         return df.withColumn(name, (F.row_number().over(spec) - 1).cast("bigint"))
     out = df.withColumn(name, F.lit(0).cast("bigint"))
     part = list(keys)
     for column, how in order:
-        ranks = value_ranks(out, part, column, min_rows=min_rows)
+        # The groups only get finer, so the first check bounds the later ones.
+        ranks = value_ranks(out, part, column, min_rows=min_rows, check=check)
         ahead = (F.col("n_total") - F.col("n_before") - F.col("n_eq")) if how == "desc" \
             else F.col("n_before")
         part = [*part, column]
@@ -239,14 +267,24 @@ def row_positions(df: DataFrame, keys: Sequence[str],
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    levels: Sequence[float], name: str = "quantiles",
-                    *, min_rows: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles per group as one array column, without holding a group.
-
-    Only the order statistics next to each level leave the ranked cells: two per level.
+                    levels: Sequence[float], name: str = "quantiles", *,
+                    min_rows: int | None = None,
+                    check: SizeCheck | None = None) -> DataFrame:
+    """Linear-interpolated quantiles per group as one array column.
+
+    The built-in aggregate keeps the distinct values of a group in memory and is used
+    while no group has more than ``VALUES_IN_MEMORY`` rows. Beyond that the values are
+    ranked, and only the order statistics next to each level leave the ranked cells: two
+    per level.
     """
     keys = list(keys)
-    ranked = value_ranks(df, keys, value, min_rows=min_rows)
+    check = check or size_check(df, keys, min_rows)
+    if check.largest <= min(VALUES_IN_MEMORY, check.min_rows):
+        at = F.array(*[F.lit(float(q)) for q in levels])
+        out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+            F.percentile(F.col(value).cast("double"), at).alias(name))
+        return out.where(F.col(name).isNotNull())
+    ranked = value_ranks(df, keys, value, min_rows=min_rows, check=check)
     wanted = F.array(*[
         F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("n_total") - 1)).alias("h"))
         for i, q in enumerate(levels)])
@@ -265,12 +303,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     at = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__h") - F.floor("__h"))
     # At most len(levels) entries per group.
     return (ends.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("__i", at.alias("v")))).alias("__q"))
+            .agg(F.sort_array(F.collect_list(F.struct("__i", at.alias("v")))).alias("__q"))
             .select(*keys, F.transform("__q", lambda s: s["v"]).alias(name)))
 
 
 def order_code_pairs(df: DataFrame, keys: Sequence[str], first: str, second: str,
-                     *, min_rows: int | None = None) -> DataFrame:
+                     *, min_rows: int | None = None,
+                     check: SizeCheck | None = None) -> DataFrame:
     """Per group: ``n`` rows and ``concordant`` unordered pairs, without forming pairs.
 
     Two rows agree when both columns order them the same way, strictly. Each row gets an
@@ -283,7 +322,8 @@ def order_code_pairs(df: DataFrame, keys: Sequence[str], first: str, second: str
     cells = (df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
              .groupBy(*keys, first, second).agg(F.count(F.lit(1)).alias("__n")))
     codes = (cells.groupBy(*keys, first).agg(F.sum("__n").alias("__m")))
-    codes = running_before(codes, keys, first, {"__m": "__c"}, min_rows=min_rows)
+    check = check or size_check(df, keys, min_rows)
+    codes = running_before(codes, keys, first, {"__m": "__c"}, min_rows=min_rows, check=check)
     coded = cells.join(
         codes.select(*keys, first, F.col("__c_before").alias("__code"),
                      F.col("__c_total").alias("__size")), [*keys, first])
@@ -298,7 +338,7 @@ def order_code_pairs(df: DataFrame, keys: Sequence[str], first: str, second: str
              F.sum(F.when(F.col("__bit") == 1, F.col("__n")).otherwise(0)).alias("__hi"))
     )
     summed = running_before(levels, [*keys, "__d", "__node"], second, {"__lo": "__below"},
-                            min_rows=min_rows, bound=(cells, keys))
+                            min_rows=min_rows, check=check)
     pairs = summed.groupBy(*keys).agg(
         F.sum(F.col("__hi") * F.col("__below_before")).alias("concordant"))
     sizes = cells.groupBy(*keys).agg(F.sum("__n").alias("n"))

@@ -134,8 +134,8 @@ def settle(picks: DataFrame, *, squad: Sequence[str] = ("entry_id", "gw"),
     squad = list(squad)
     entry = F.struct("slot", F.col("player_code").alias("code"), "position", "played",
                      "points")
-    gathered = picks.groupBy(*squad).agg(
-        F.array_sort(F.collect_list(entry)).alias("__all"),
+    gathered = scale.spread(picks, *squad).groupBy(*squad).agg(
+        F.sort_array(F.collect_list(entry)).alias("__all"),
         F.max(F.when(F.col("is_captain"), F.col("player_code"))).alias("captain"),
         F.max(F.when(F.col("is_vice"), F.col("player_code"))).alias("vice_captain"))
     rows = gathered.withColumns({

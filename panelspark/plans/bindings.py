@@ -41,9 +41,13 @@ class Roles:
 
     def __init__(self, spark: SparkSession, sf: str) -> None:
         self.spark, self.sf = spark, sf
+        self._tables: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf, name)
+        """A supplied table; its footer is read once per query."""
+        if name not in self._tables:
+            self._tables[name] = table(self.spark, self.sf, name)
+        return self._tables[name]
 
     # -- entities and panel ------------------------------------------------------
 

@@ -302,7 +302,9 @@ def position_baselines(r):
     FROM f, c GROUP BY 1, 2""")
 def quartile_matchup(r):
     rows = r.features().join(r.players().select("player_code", "position"), "player_code")
-    return rounded(CO.quartile_table(rows, "opponent_elo", "next_points"), "mean_pts")
+    check = scale.size_check(r.panel(), [])       # features are rows of the panel
+    return rounded(CO.quartile_table(rows, "opponent_elo", "next_points", check=check),
+                   "mean_pts")
 
 
 @query(f"""
@@ -446,15 +448,18 @@ _MEAN = ("(SELECT sum((k[i + 1] - k[i]) * (p[i] + p[i + 1]) / 2) "
 
 
 @query(f"""
-    WITH v AS (SELECT player_code, {_PAD} AS p, {_KNOTS} AS k FROM vectors),
+    WITH w AS (SELECT player_code, list_transform(vector, lambda x: x / 997.0) AS vector
+               FROM vectors),
+    v AS (SELECT player_code, {_PAD} AS p, {_KNOTS} AS k FROM w),
     m AS (SELECT *, {_MEAN} AS m FROM v)
     SELECT player_code, {r6("m")} AS mean, {r6('''sqrt((SELECT sum((k[i + 1] - k[i])
            * ((p[i] - m) ** 2 + (p[i + 1] - m) ** 2) / 2)
            FROM (SELECT unnest(range(1, 11)) AS i)))''')} AS std
     FROM m""")
 def quantile_moments(r):
-    out = r.vectors().select("player_code", Q.mean("vector").alias("mean"),
-                             Q.std("vector").alias("std"))
+    vectors = r.vectors().withColumn("vector", F.transform("vector", lambda x: x / 997.0))
+    out = vectors.select("player_code", Q.mean("vector").alias("mean"),
+                         Q.std("vector").alias("std"))
     return rounded(out, "mean", "std")
 
 
@@ -544,19 +549,14 @@ def step_cdf(r):
     WITH a AS (SELECT player_code, gw, total_points AS actual_points FROM actuals),
     b AS (SELECT a.*, {_below_sql("actual_points * 500.0")} AS below
           FROM a LEFT JOIN vectors USING (player_code))
-    SELECT player_code, gw, {r6("below * 100.0")} AS percentile, CASE
+    SELECT player_code, gw, round_even(below * 100.0, 1) AS percentile, CASE
            WHEN below >= 0.95 AND actual_points * 500.0 >= 3 THEN 'beat_95th'
            WHEN below <= 0.05 THEN 'below_5th' END AS surprise FROM b""")
 def percentile_in_forecast(r):
     rows = r.actuals().select("player_code", "gw", (F.col("total_points") * 500.0).alias("actual_points"))
-    below = Q.probability_below("vector", "actual_points")
-    v = r.vectors()
     years = r.actuals().select("player_code", "gw")
-    placed = SK.percentile_of_actual(rows, v.join(years, "player_code"))
-    exact = rows.join(v, "player_code").select("player_code", "gw",
-                                               (below * 100.0).alias("percentile"))
-    out = placed.select("player_code", "gw", "surprise").join(exact, ["player_code", "gw"])
-    return rounded(out, "percentile")
+    placed = SK.percentile_of_actual(rows, r.vectors().join(years, "player_code"))
+    return placed.select("player_code", "gw", "percentile", "surprise")
 
 
 @query(f"""
