@@ -448,7 +448,7 @@ _MEAN = ("(SELECT sum((k[i + 1] - k[i]) * (p[i] + p[i + 1]) / 2) "
 
 
 @query(f"""
-    WITH w AS (SELECT player_code, list_transform(vector, lambda x: x / 997.0) AS vector
+    WITH w AS (SELECT player_code, list_transform(vector, lambda x: x / 991.7320413) AS vector
                FROM vectors),
     v AS (SELECT player_code, {_PAD} AS p, {_KNOTS} AS k FROM w),
     m AS (SELECT *, {_MEAN} AS m FROM v)
@@ -457,7 +457,8 @@ _MEAN = ("(SELECT sum((k[i + 1] - k[i]) * (p[i] + p[i + 1]) / 2) "
            FROM (SELECT unnest(range(1, 11)) AS i)))''')} AS std
     FROM m""")
 def quantile_moments(r):
-    vectors = r.vectors().withColumn("vector", F.transform("vector", lambda x: x / 997.0))
+    vectors = r.vectors().withColumn(
+        "vector", F.transform("vector", lambda x: x / 991.7320413))
     out = vectors.select("player_code", Q.mean("vector").alias("mean"),
                          Q.std("vector").alias("std"))
     return rounded(out, "mean", "std")
