@@ -106,6 +106,18 @@ def ranking_metrics(df: DataFrame, top: float = 0.10,
         agree.alias("pairwise_concordance"), "n")
 
 
+def reference_rankings(df: DataFrame, columns: Mapping[str, str],
+                       *, min_rows: int | None = None) -> DataFrame:
+    """Ranking metrics of naive forecasts on the rows with an outcome; missing ones are 0."""
+    rows = df.where(F.col("actual").isNotNull())
+    out = None
+    for name, column in columns.items():
+        part = ranking_metrics(rows.withColumn("pred", F.coalesce(F.col(column), F.lit(0.0))),
+                               min_rows=min_rows).select(F.lit(name).alias("name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- calibration ----------------------------------------------------------------
 
 def calibration_bins(df: DataFrame, bins: int = 10,
