@@ -87,6 +87,37 @@ def ranking_metrics(r):
                    "pairwise_concordance")
 
 
+def _reference_sql(name: str, pred: str) -> str:
+    """Ranking metrics of one naive forecast."""
+    return f"""
+    SELECT '{name}' AS name,
+           (SELECT round(avg(v), 6) FROM (SELECT corr(ra, rp) AS v FROM (
+               SELECT gw, rank() OVER (PARTITION BY gw ORDER BY actual)
+                   + (count(*) OVER (PARTITION BY gw, actual) - 1) / 2.0 AS ra,
+                   rank() OVER (PARTITION BY gw ORDER BY {pred})
+                   + (count(*) OVER (PARTITION BY gw, {pred}) - 1) / 2.0 AS rp FROM scored)
+               GROUP BY gw HAVING count(*) >= 2)) AS spearman_rho,
+           (SELECT round(count(*) FILTER (a <= k AND p <= k) / count(*) FILTER (a <= k), 6)
+            FROM (SELECT row_number() OVER (PARTITION BY gw ORDER BY actual DESC, player_code)
+                      AS a,
+                  row_number() OVER (PARTITION BY gw ORDER BY {pred} DESC, player_code) AS p,
+                  greatest(1, ceil(count(*) OVER (PARTITION BY gw) * 0.1)) AS k FROM scored))
+           AS topk_hit_rate,
+           (SELECT round(avg(v), 6) FROM (
+               SELECT count(*) FILTER ((a.actual - b.actual) * (a.{pred} - b.{pred}) > 0)
+                      / count(*) AS v
+               FROM scored a JOIN scored b ON a.gw = b.gw AND a.player_code <> b.player_code
+               GROUP BY a.gw)) AS pairwise_concordance,
+           (SELECT count(*) FROM scored) AS n"""
+
+
+@query(_reference_sql("persist", "prev_points") + " UNION ALL "
+       + _reference_sql("external", "now_cost"))
+def reference_rankings(r):
+    out = M.reference_rankings(r.scored(), {"persist": "prev_points", "external": "now_cost"})
+    return rounded(out, "spearman_rho", "topk_hit_rate", "pairwise_concordance")
+
+
 _BINS = """
     SELECT s.*, len(list_filter(e[1:10], lambda x: x <= pred)) AS bin FROM scored s,
     (SELECT quantile_cont(pred, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e
@@ -289,3 +320,20 @@ def ridge_forecast(r):
     scored = ML.predict(model, rows.where(F.col("gw") > 15), kind="ridge").withColumn(
         "actual", F.col("next_points").cast("double"))
     return M.point_metrics(scored, ["position"])
+
+
+@query()
+def sigma_and_positions(r):
+    """Spread regressor and per-position trees on the middle of the month, blended."""
+    rows = _ml_rows(r)
+    fit, held, test = (rows.where(F.col("gw") <= 10), rows.where(F.col("gw").between(11, 18)),
+                       rows.where(F.col("gw") > 18))
+    point = ML.fit(fit, rounds=3, depth=3)
+    sigma = ML.fit_sigma(ML.predict(point, held), rounds=3, depth=3)
+    parts = ML.fit_by_position(fit, ("DEF", "MID"), rounds=3, depth=3)
+    blend = ML.predict_by_position(parts, ML.predict(point, test, name="pred_global"))
+    out = ML.predict(sigma, blend, name="sigma")
+    return out.groupBy("position").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("sigma").alias("mean_sigma"),
+        F.avg(F.abs(F.col("next_points") - F.col("pred_global"))).alias("mae_global"),
+        F.avg(F.abs(F.col("next_points") - F.col("pred_position"))).alias("mae_position"))

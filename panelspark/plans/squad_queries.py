@@ -163,25 +163,70 @@ def squad_violations(r):
 
 # --- settlement ---------------------------------------------------------------------------
 
-@query()
+def _settled_sql(source: str, xi: int = 4, min_def: int = 1) -> str:
+    """Settlement as CTEs ``settled``, one step per starter slot; ``source`` is a table of
+    picks with the results."""
+    steps = [f"""
+    src AS (SELECT * FROM {source}),
+    step0 AS (SELECT entry_id, gw, max(player_code) FILTER (is_captain) AS cap,
+                     max(player_code) FILTER (is_vice) AS vice,
+                     []::BIGINT[] AS playing, []::BIGINT[] AS used, 0 AS nd,
+                     count(*) FILTER (slot <= {xi} AND position = 'DEF') AS wd
+              FROM src GROUP BY 1, 2)"""]
+    for i in range(1, xi + 1):
+        steps.append(f"""
+    pick{i} AS (
+        SELECT p.*, s.player_code AS sc, s.position AS sp, s.played AS sok,
+               p.wd - CASE WHEN s.position = 'DEF' THEN 1 ELSE 0 END AS wd_next,
+               (SELECT min_by(b.player_code, b.slot) FROM src b
+                WHERE b.entry_id = p.entry_id AND b.gw = p.gw AND b.slot > {xi} AND b.played
+                  AND NOT list_contains(p.used, b.player_code)
+                  AND (b.position = 'GKP') = (s.position = 'GKP')
+                  AND p.nd + p.wd - CASE WHEN s.position = 'DEF' THEN 1 ELSE 0 END
+                      + CASE WHEN b.position = 'DEF' THEN 1 ELSE 0 END >= {min_def}) AS sub
+        FROM step{i - 1} p LEFT JOIN src s
+             ON s.entry_id = p.entry_id AND s.gw = p.gw AND s.slot = {i}),
+    step{i} AS (
+        SELECT k.entry_id, k.gw, cap, vice,
+               CASE WHEN sok THEN list_append(playing, sc)
+                    WHEN sub IS NOT NULL THEN list_append(playing, sub)
+                    ELSE playing END AS playing,
+               CASE WHEN NOT sok AND sub IS NOT NULL THEN list_append(used, sub)
+                    ELSE used END AS used,
+               nd + CASE WHEN sok THEN CASE WHEN sp = 'DEF' THEN 1 ELSE 0 END
+                         WHEN sub IS NOT NULL AND b.position = 'DEF' THEN 1 ELSE 0 END AS nd,
+               coalesce(wd_next, wd) AS wd
+        FROM pick{i} k LEFT JOIN src b
+             ON b.entry_id = k.entry_id AND b.gw = k.gw AND b.player_code = k.sub)""")
+    steps.append(f"""
+    who AS (SELECT *, CASE WHEN list_contains(playing, cap) THEN cap
+                           WHEN list_contains(playing, vice) THEN vice END AS captain_doubled
+            FROM step{xi}),
+    settled AS (
+        SELECT w.entry_id, w.gw, array_to_string(playing, ',') AS playing, len(used) AS subs,
+               captain_doubled,
+               (SELECT coalesce(sum(points * CASE WHEN player_code = captain_doubled THEN 2
+                                             ELSE 1 END), 0.0) FROM src s
+                WHERE s.entry_id = w.entry_id AND s.gw = w.gw
+                  AND list_contains(w.playing, s.player_code)) AS gw_total,
+               playing AS playing_list
+        FROM who w)""")
+    return ",".join(steps)
+
+
+@query("WITH " + _settled_sql("squad_picks")
+       + " SELECT entry_id, gw, playing, subs, captain_doubled, gw_total FROM settled")
 def settlement(r):
-    return r.settled()
-
-
-@query()
-def h2h_table(r):
-    out = L.h2h_table(r.standings(), r.league_matches(), r.settled())
-    return L.final_ranks(out)
-
-
-def _scores(r):
-    """Score of an entry and period: its weighted quantities."""
-    return r.picks().groupBy("entry_id", "gw").agg(
-        F.sum(F.col("quantity") * F.col("multiplier")).alias("gw_total"))
+    return r.settled().select(
+        "entry_id", "gw", F.array_join(F.transform("playing", lambda c: c.cast("string")), ",")
+        .alias("playing"), F.size("substituted_in").cast("bigint").alias("subs"),
+        "captain_doubled", "gw_total")
 
 
-@query("""
-    WITH sc AS (SELECT entry_id, gw, sum(quantity * multiplier) AS t FROM picks GROUP BY 1, 2),
+def _table_sql(scores: str) -> str:
+    """League table from a relation of (entry_id, gw, t)."""
+    return f"""
+    sc AS ({scores}),
     tot AS (SELECT entry_id, sum(t) AS resolved_score FROM sc GROUP BY 1),
     tab AS (SELECT s.entry_id, entry_name, player_name, resolved_score
             FROM standings s JOIN tot USING (entry_id)),
@@ -197,7 +242,24 @@ def _scores(r):
            3 * coalesce(w, 0) + coalesce(dr, 0) AS league_points,
            row_number() OVER (ORDER BY 3 * coalesce(w, 0) + coalesce(dr, 0) DESC,
                               resolved_score DESC, entry_id) AS rank
-    FROM tab LEFT JOIN rec USING (entry_id)""")
+    FROM tab LEFT JOIN rec USING (entry_id)"""
+
+
+@query("WITH " + _settled_sql("squad_picks") + ","
+       + _table_sql("SELECT entry_id, gw, gw_total AS t FROM settled"))
+def h2h_table(r):
+    out = L.h2h_table(r.standings(), r.league_matches(), r.settled())
+    return L.final_ranks(out)
+
+
+def _scores(r):
+    """Score of an entry and period: its weighted quantities."""
+    return r.picks().groupBy("entry_id", "gw").agg(
+        F.sum(F.col("quantity") * F.col("multiplier")).alias("gw_total"))
+
+
+@query("WITH " + _table_sql(
+    "SELECT entry_id, gw, sum(quantity * multiplier) AS t FROM picks GROUP BY 1, 2"))
 def league_table(r):
     return L.final_ranks(L.h2h_table(r.standings(), r.league_matches(), _scores(r)))
 
@@ -233,7 +295,16 @@ def team_summary(r):
     return rounded(out, "xscore", "error")
 
 
-@query()
+@query("WITH " + _settled_sql("squad_picks") + f""",
+    x AS (SELECT p.entry_id, p.gw, sum(coalesce(expected_points, 0.0) * multiplier) AS xscore,
+                 count(*) AS player_count
+          FROM picks p LEFT JOIN per_gw f ON f.player_code = p.element AND f.gw = p.gw
+          GROUP BY 1, 2)
+    SELECT x.entry_id, x.gw, {r6("xscore")} AS xscore, player_count,
+           CAST(h.points AS DOUBLE) AS history_score, gw_total AS actual_score,
+           'event_live_settlement' AS score_source, {r6("xscore - gw_total")} AS error
+    FROM x JOIN settled s USING (entry_id, gw)
+    JOIN history h ON h.entry_id = x.entry_id AND h.event = x.gw""")
 def team_summary_settled(r):
     actuals = r.actuals().withColumnRenamed("player_code", "player_id")
     rows = SQ.team_rows(r.picks(), r.elements(), actuals, r.per_gw())
@@ -250,13 +321,45 @@ def _backtest(r):
     return SQ.backtest(runs, r.actuals(), 3, r.per_gw(), xi_size=XI, min_def=1, min_fwd=0)
 
 
-@query()
+_RUNS = """
+    base AS (SELECT entry_id, element AS player_code, position AS slot, is_captain,
+                    is_vice_captain AS is_vice FROM picks WHERE gw = 1996),
+    weekly AS (SELECT b.*, w.gw, e.position, coalesce(a.minutes, 0) > 0 AS played,
+                      coalesce(a.total_points, 0.0) AS points
+               FROM base b CROSS JOIN (SELECT unnest([1996, 1997, 1998])::BIGINT AS gw) w
+               JOIN elements e ON e.player_code = b.player_code
+               LEFT JOIN actuals a ON a.player_code = b.player_code AND a.gw = w.gw),
+    """
+_TOTALS = """,
+    hit AS (SELECT s.entry_id, s.gw, sum(coalesce(expected_points, 0.0)
+                   * CASE WHEN w.player_code = captain_doubled THEN 2 ELSE 1 END) AS pred
+            FROM settled s JOIN weekly w ON w.entry_id = s.entry_id AND w.gw = s.gw
+                 AND list_contains(playing_list, w.player_code)
+            LEFT JOIN per_gw f ON f.player_code = w.player_code AND f.gw = w.gw GROUP BY 1, 2),
+    dn AS (SELECT s.entry_id, s.gw, count(w.player_code) AS dnps FROM settled s LEFT JOIN weekly w
+           ON w.entry_id = s.entry_id AND w.gw = s.gw AND w.slot <= 4
+              AND NOT list_contains(playing_list, w.player_code) GROUP BY 1, 2),
+    wk AS (SELECT s.*, coalesce(pred, 0.0) AS pred, dnps,
+                  coalesce(pred, 0.0) - gw_total AS gap
+           FROM settled s LEFT JOIN hit USING (entry_id, gw) JOIN dn USING (entry_id, gw)),
+    runs AS (SELECT entry_id AS run, count(*) AS weeks, sum(gw_total) AS total_actual,
+                    sum(pred) AS total_predicted, sum(pred) - sum(gw_total) AS gap,
+                    CAST(sum(subs) AS BIGINT) AS substitutions,
+                    CAST(sum(dnps) AS BIGINT) AS dnps, count(captain_doubled) AS captain_weeks
+             FROM wk GROUP BY 1)"""
+
+
+@query("WITH " + _RUNS.strip() + _settled_sql("weekly") + _TOTALS
+       + f" SELECT run, weeks, total_actual, {r6('total_predicted')} AS total_predicted,"
+         f" {r6('gap')} AS gap, substitutions, dnps, captain_weeks FROM runs")
 def backtest(r):
-    out = SQ.run_totals(_backtest(r))
+    out = SQ.run_totals(_backtest(r)).drop("worst_gw")
     return rounded(out, "total_predicted", "gap")
 
 
-@query()
+@query("WITH " + _RUNS.strip() + _settled_sql("weekly") + _TOTALS
+       + f" SELECT count(*) AS evaluated, max(total_actual) AS best_actual,"
+         f" {r6('avg(total_actual)')} AS mean_actual, {r6('avg(gap)')} AS mean_gap FROM runs")
 def backtest_candidates(r):
     return rounded(SQ.candidate_metrics(SQ.run_totals(_backtest(r))), "mean_actual", "mean_gap")
 
@@ -509,3 +612,41 @@ def current_prices(r):
                                F.col("player_code").alias("player_id"))
     return SQ.current_prices(picks, live, frozen).select("squad", "player_code",
                                                          "price_tenths")
+
+
+@query("""
+    SELECT squad, player_code, CASE WHEN value IS NULL THEN 0.0 ELSE
+           round(value * (1.0 - coalesce(own, 0.0)), 6) + 0.0 END AS value
+    FROM members LEFT JOIN (SELECT element AS player_code, count(DISTINCT entry_id)
+        / (SELECT count(DISTINCT entry_id) FROM picks) AS own FROM picks GROUP BY 1)
+    USING (player_code)""")
+def discounted_values(r):
+    own = L.ownership_all(r.picks()).withColumnRenamed("element", "player_code")
+    out = r.members().join(own, "player_code", "left").select(
+        "squad", "player_code", X.ownership_discounted("value", "ownership").alias("value"))
+    return rounded(out, "value")
+
+
+@query("""
+    SELECT player_code, CASE element_type WHEN 1 THEN 'GKP' WHEN 2 THEN 'DEF' WHEN 3 THEN 'MID'
+           ELSE 'FWD' END AS position, CAST(element_type AS INTEGER) AS place,
+           TRY_CAST(selected_by_percent AS DOUBLE) AS selected
+    FROM live""")
+def element_types(r):
+    position = X.position_of_element_type("element_type")
+    return r.live().select("player_code", position.alias("position"),
+                           X.position_order(position).cast("int").alias("place"),
+                           X.lenient_double("selected_by_percent").alias("selected"))
+
+
+@query("""
+    SELECT p.player_id, p.team_code IS NOT DISTINCT FROM l.team_code AS same_club,
+           CAST(round_even(p.now_cost * 10.0, 0) AS BIGINT) IS NOT DISTINCT FROM l.now_cost
+           AS same_price
+    FROM players p JOIN live l USING (player_code)""")
+def unchanged(r):
+    live = r.live().select("player_code", F.col("team_code").alias("live_team"),
+                           F.col("now_cost").alias("live_cost"))
+    return r.players().join(live, "player_code").select(
+        "player_id", X.unchanged("team_code", "live_team").alias("same_club"),
+        X.unchanged(X.to_tenths("now_cost"), "live_cost").alias("same_price"))
