@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import metrics as M
 from panelspark.operators import panel as P
 from panelspark.operators.checks import Split, with_split
+from panelspark.session import use_checkpoint_dir
 
 # Default feature set of the point model.
 FEATURES = ("prev_points", "pts_avg_3", "pts_avg_5", "was_home", "home_elo", "opponent_elo",
@@ -58,6 +59,7 @@ def _fill(df: DataFrame, features: Sequence[str], model: str) -> DataFrame:
 def fit(train: DataFrame, model: str = "trees", features: Sequence[str] = FEATURES,
         label: str = "next_points", **params) -> PipelineModel:
     rows = prepared(train, features, label).where(F.col(label).isNotNull())
+    use_checkpoint_dir(rows.sparkSession)       # boosting cuts its lineage every few rounds
     return REGISTRY[model](features, label, **params).fit(_fill(rows, features, model))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_SHARE = 200
-SPLITS = 64
+SPLITS = 256
 MIN_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 VALUES_IN_MEMORY = 100_000
@@ -107,19 +107,35 @@ def _same(keys: Sequence[str]) -> Column:
 
 
 def _cut_points(cells: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:
-    """One row per large group with the values at which it is cut (a bounded table)."""
+    """One row per large group with the values at which it is cut.
+
+    Both tables taken to the driver are bounded: fewer than ``HOT_SHARE`` groups, and
+    ``SPLITS`` numbers for each. Taken once, the cuts are the same for every later stage
+    and every retry.
+    """
+    spark = cells.sparkSession
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    large = (cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+             .where(F.col("__n") > limit).select(*named, "__n"))
+    large = F.broadcast(spark.createDataFrame(large.collect(), large.schema))
     levels = [i / SPLITS for i in range(1, SPLITS)]
     cuts = (
-        cells.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"),
-             F.percentile_approx(F.col(order).cast("double"), levels, 1000).alias("__cuts"))
-        .where(F.col("__n") > limit)
-        .select(*[F.col(k).alias(f"__{k}") for k in keys],
-                F.sort_array(F.array_distinct("__cuts")).alias("__cuts"))
-    )
-    # Taken once, so that every later stage and every retry uses the same cuts.
-    rows = cuts.collect()
-    return cells.sparkSession.createDataFrame(rows, cuts.schema)
+        cells.join(large, _same(keys)).groupBy(*[f"__{k}" for k in keys])
+        .agg(F.sort_array(F.array_distinct(F.percentile_approx(
+            F.col(order).cast("double"), levels, 10 * SPLITS))).alias("__cuts")))
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
+
+
+def _with_range(df: DataFrame, order: str) -> DataFrame:
+    """Number of cuts below the row's value, by binary search in the sorted cuts."""
+    out = df.withColumn("__range", F.lit(0))
+    step = SPLITS // 2
+    while step:
+        at = F.get("__cuts", F.col("__range") + (step - 1))
+        out = out.withColumn("__range", F.col("__range") + F.when(
+            at < F.col(order).cast("double"), step).otherwise(0))
+        step //= 2
+    return out.drop("__cuts")
 
 
 def running_before(
@@ -157,12 +173,7 @@ def running_before(
     cuts = F.broadcast(_cut_points(cells, keys, order, check.limit))
     tagged = cells.join(cuts, _same(keys), "left").select(*cells.columns, "__cuts")
     cold = local(tagged.where(F.col("__cuts").isNull()).drop("__cuts"), keys)
-    hot = (
-        tagged.where(F.col("__cuts").isNotNull())
-        .withColumn("__range", F.size(F.filter(
-            "__cuts", lambda c: c < F.col(order).cast("double"))))
-        .drop("__cuts")
-    )
+    hot = _with_range(tagged.where(F.col("__cuts").isNotNull()), order)
     # Totals per range: fewer than HOT_SHARE groups times SPLITS ranges.
     totals = hot.groupBy(*keys, "__range").agg(
         *[F.sum(m).alias(f"__{p}") for m, p in sums.items()])

@@ -25,14 +25,17 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+def use_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Point checkpoints at the shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a temporary folder is made in local mode only.
+    """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    made = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    if not context.getCheckpointDir() and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
+    return context.getCheckpointDir()
