@@ -14,7 +14,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4, "panelspark-tests")
+    session = local_session(8, 4, "panelspark-tests")
+    # Small inputs: compiling a stage costs more than running it. tools/compare.py and
+    # bench.py run with generated code.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
