@@ -13,6 +13,7 @@ points (``HOT_SHARE * SPLITS`` numbers at most) is safe to hold on the driver.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -44,23 +45,24 @@ class SizeCheck:
         return self.largest <= self.limit
 
 
-_ROWS_SEEN: dict[int, int] = {}
+SEEN_SECONDS = 300
+_ROWS_SEEN: dict[int, tuple[int, float]] = {}
 
 
 def size_check(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> SizeCheck:
     """Count rows and the largest group of ``keys`` (only the key columns are read).
 
-    A table that was counted before and is small as a whole needs no second look. A count
-    that has become stale can only choose the slower of two exact ways.
+    A table that was counted within ``SEEN_SECONDS`` and is small as a whole needs no
+    second look. A stale count can only choose the slower of two exact ways.
     """
     min_rows = MIN_ROWS if min_rows is None else min_rows
     plan = df.semanticHash()
-    seen = _ROWS_SEEN.get(plan)
-    if seen is not None and seen <= min_rows:
-        return SizeCheck(seen, seen, min_rows)
+    rows, when = _ROWS_SEEN.get(plan, (0, 0.0))
+    if when and time.monotonic() - when < SEEN_SECONDS and rows <= min_rows:
+        return SizeCheck(rows, rows, min_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    _ROWS_SEEN[plan] = int(row["rows"] or 0)
+    _ROWS_SEEN[plan] = (int(row["rows"] or 0), time.monotonic())
     return SizeCheck(int(row["rows"] or 0), int(row["largest"] or 0), min_rows)
 
 
