@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import use_checkpoint_dir
+
 HOT_SHARE = 200
 SPLITS = 256
 MIN_ROWS = 2_000_000
@@ -102,6 +104,15 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return out.withColumnRenamed("__rn", rank_name)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a table that several later steps read.
+
+    Only on the way for large groups, where each step would otherwise work out the ones
+    before it again. Without a checkpoint folder the table stays a plan.
+    """
+    return df.checkpoint() if use_checkpoint_dir(df.sparkSession) else df
+
+
 def _same(keys: Sequence[str]) -> Column:
     """Join condition ``key <=> __key`` (null keys form a group of their own)."""
     return reduce(lambda a, b: a & b,
@@ -172,6 +183,7 @@ def running_before(
     if check.small:
         return local(cells, keys)
 
+    cells = cut_lineage(cells)
     cuts = F.broadcast(_cut_points(cells, keys, order, check.limit))
     tagged = cells.join(cuts, _same(keys), "left").select(*cells.columns, "__cuts")
     cold = local(tagged.where(F.col("__cuts").isNull()).drop("__cuts"), keys)
@@ -237,6 +249,7 @@ def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str
             f"{prefix}_total": F.count(value).over(whole),
             f"{prefix}_eq": F.count(value).over(peers),
         })
+    df = cut_lineage(df)
     ranks = value_ranks(df, keys, value, min_rows=min_rows, check=check).select(
         *[F.col(k).alias(f"__{k}") for k in [*keys, value]],
         F.col("n_eq").alias(f"{prefix}_eq"), F.col("n_before").alias(f"{prefix}_before"),
@@ -276,6 +289,7 @@ def row_positions(df: DataFrame, keys: Sequence[str],
         out = (out.join(ranks, _same(part), "left")
                .withColumn(name, F.col(name) + F.coalesce("__ahead", F.lit(0)))
                .drop("__ahead", *[f"__{k}" for k in part]))
+        out = cut_lineage(out)
     return out
 
 
