@@ -6,10 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, packing, sharding, token_files
+from panelspark.llm import (
+    byte_bpe,
+    embeddings,
+    lm_score,
+    minhash,
+    packing,
+    pii,
+    quality,
+    sharding,
+    token_files,
+    url_filter,
+)
+from panelspark.llm.shared import stored
 
 WORDS = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PSEUDONYM_KEY = "key of the test tables"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +35,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path(WORDS), end_id=1, capacity=4096)
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with personal numbers, dates and addresses replaced by keyed pseudonyms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, PSEUDONYM_KEY, found="n_found")
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector at cosine 0.95 and its component."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of the same mixture of sources; law: equal row counts."""
     docs = table(spark, sf_dir, "documents").select(
@@ -40,6 +64,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.PATTERN)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: five words, weighted similarity 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, own failure and verdict of every document with that of its host."""
+    rows = stored(quality.measured(table(spark, sf_dir, "documents"), "doc_id", "source"),
+                  "measures")
+    return quality.judged(rows, rows).select(
+        "doc_id", *quality.MEASURES, "base_failed", "kept", "source", "host_kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written to flat files and read back; id 2 ends a document."""
     uri = token_files.write_token_files(table(spark, sf_dir, "documents"),
@@ -47,5 +84,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, uri, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_shards, op5_byte_bpe, op8_token_files)}
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log score of every document under the counts of all others."""
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL: the rules, else the trees trained on what the rules decide."""
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_pseudonyms, op3_near_vectors, op4_shards, op5_byte_bpe,
+    op6_near_duplicates, op7_quality, op8_token_files, op9_lm_scores, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}

@@ -9,7 +9,7 @@ Ranks and places come from counts of hash buckets and rows numbered inside a buc
 with most of the rows is spread over all buckets, and no window holds more than a bucket.
 Defined cases: a null source is a source of its own; a null text has no bytes; equal rows are
 told apart by nothing, so either may take either place; an empty table gives no rows; further
-columns stay.
+columns stay, but for earlier ones named like the three added.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_SPAN = 1 << 62
+ADDED = ("fraction", "shard", "slot")
 
 
 def _numbered(df: DataFrame, keys: list[str], bucket: str, *order: str) -> DataFrame:
@@ -48,26 +49,28 @@ def shards(docs: DataFrame, n_shards: int, source: str = "source", key: str = "d
     """
     total = docs.count()
     buckets = math.isqrt(total) + 1  # of about sqrt(total) rows each
-    rows = (docs.withColumn("shard_hash", F.shiftrightunsigned(
-                F.xxhash64(F.lit(seed), key), 2))
+    given = docs.select(F.struct(*[c for c in docs.columns if c not in ADDED]).alias("shard_row"),
+                        F.col(source).alias("shard_source"), F.col(key).alias("shard_key"))
+    rows = (given.withColumn("shard_hash", F.shiftrightunsigned(
+                F.xxhash64(F.lit(seed), "shard_key"), 2))
             .withColumn("shard_bucket", F.floor(
                 F.col("shard_hash") / F.lit(float(HASH_SPAN)) * buckets)))
-    ranked = _numbered(rows, [source], "shard_bucket", "shard_hash", key)
-    per_source = docs.groupBy(F.col(source).alias("shard_source")).agg(
+    ranked = _numbered(rows, ["shard_source"], "shard_bucket", "shard_hash", "shard_key")
+    per_source = given.groupBy(F.col("shard_source").alias("shard_name")).agg(
         F.count(F.lit(1)).alias("shard_of"))
-    spread = (ranked.join(per_source, F.col(source).eqNullSafe(F.col("shard_source")))
+    spread = (ranked.join(per_source, F.col("shard_source").eqNullSafe(F.col("shard_name")))
               .withColumn("fraction",
                           (2 * F.col("shard_rank") + 1) / (2 * F.col("shard_of")))
               .withColumn("shard_bucket", F.floor(F.col("fraction") * buckets))
               .withColumn("shard_one", F.lit(0)))
-    placed = _numbered(spread, ["shard_one"], "shard_bucket", "fraction", source, key)
+    placed = _numbered(spread, ["shard_one"], "shard_bucket", "fraction", "shard_source",
+                       "shard_key")
     # Row p of N goes to shard p * S div N; the first row of shard s is the ceiling of s * N / S.
     return (placed.withColumn("shard", F.expr(
                 f"cast(shard_rank * {n_shards} div {total} as int)"))
             .withColumn("slot", F.expr(
                 f"shard_rank - (cast(shard as long) * {total} + {n_shards} - 1) div {n_shards}"))
-            .drop("shard_hash", "shard_bucket", "shard_rank", "shard_source",
-                  "shard_of", "shard_one"))
+            .select("shard_row.*", *ADDED))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:

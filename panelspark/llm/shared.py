@@ -36,6 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mounted_path(uri: str) -> str:
     """The file-system path of a folder that every node mounts; memory maps need one."""
     parts = urlparse(uri)
