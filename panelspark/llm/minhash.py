@@ -16,7 +16,10 @@ rows 6 and 32 bands misses a pair at similarity 0.8 with probability 6e-5, at 0.
 
 Large groups make no pairs of all members: equal texts count as one; first every text meets one
 member of its bucket, drawn per band; then only texts of a bucket that are still in different
-groups are compared, those outside its largest group with the rest.
+groups are compared, those outside its largest group with the rest. Where that would be more than
+HOT_PAIRS pairs in a bucket, they meet in blocks instead of pairs: the texts outside meet all
+texts of the largest group and each other, a block by a block as a product of 0-1 matrices, and
+a block gives one link for each text and group.
 
 Defined cases: a text with fewer than five words is one shingle of all its words; texts without
 words are duplicates only of equal texts; a null text is in a class of its own; rows of equal
@@ -44,6 +47,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
 MAX_BITS = 43
+HOT_PAIRS = 1000
+BLOCK = 128
 DARTS = K * (math.log(K) + 2)
 U, MASK = np.uint64, (1 << 64) - 1
 
@@ -212,15 +217,86 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         multi["*"], F.coalesce("component", "id").alias("group"))
     sizes = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.max(F.struct("n", "group"))["group"].alias("main")).where("groups > 1")
+        F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"),
+        F.max(F.struct("n", "group")).alias("top")).where("groups > 1").select(
+        "bucket", F.col("top.group").alias("main"),
+        (F.col("n") * (F.col("n") - F.col("top.n")) > HOT_PAIRS).alias("hot"))
     mixed = stored(grouped.join(main, "bucket"), "mixed")
-    apart = (mixed.where("`group` <> main").alias("x").join(mixed.alias("y"), "bucket")
+    few = mixed.where("not hot")
+    apart = (few.where("`group` <> main").alias("x").join(few.alias("y"), "bucket")
              .where((F.col("x.group") != F.col("y.group"))
                     & ((F.col("y.group") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
                     & _close("x", "y"))
              .select(*_ordered("x", "y")).distinct())
-    return first.union(verified(apart, texts))
+    outside = mixed.where("hot and `group` <> main").select(
+        F.col("main").alias("family"), "id", "group").distinct()
+    return first.union(verified(apart, texts)).union(
+        block_links(outside, grouped.select("id", "group").distinct(), texts))
+
+
+def block_links(outside: DataFrame, members: DataFrame, texts: DataFrame,
+                threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) of outside(family, id, group) with its family and with each other.
+
+    A family is the group of members(id, group) that it names. Each text of a family's outside
+    meets all others in blocks of BLOCK by BLOCK texts; rows grow with the number of texts times
+    that of blocks, and a link for each text and group of a block comes out.
+    """
+    inside = members.join(outside.select(F.col("family").alias("group")).distinct(), "group",
+                          "left_semi").select(F.col("group").alias("family"), "id", "group")
+    all_of = inside.union(outside)
+    counts = all_of.groupBy("family").agg(F.count(F.lit(1)).alias("n")).join(
+        outside.groupBy("family").agg(F.count(F.lit(1)).alias("k")), "family")
+
+    def dealt(rows: DataFrame, own: str, n: str, other: str, m: str, side: int) -> DataFrame:
+        blocks = [F.greatest(F.lit(1), F.ceil(F.col(x) / BLOCK)).cast("int") for x in (n, m)]
+        return rows.join(counts, "family").select(
+            "family", "id", "group", F.lit(side).alias("side"),
+            F.pmod(F.xxhash64("id"), blocks[0]).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), blocks[1] - 1)).alias(other)).select(
+            "family", "xb", "yb", "side", "id", "group")
+
+    def run(block: pa.Table) -> pa.Table:
+        coded = block.column("text").combine_chunks().dictionary_encode()
+        text, cell = cells(coded.dictionary)
+        order = np.argsort(text, kind="stable")
+        edge = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(coded.dictionary)))])
+        cell, which = cell[order], coded.indices.to_numpy()
+        side, ids = block.column("side").to_numpy(), block.column("id").to_numpy()
+        group = block.column("group").to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        own = [[cell[edge[which[r]]:edge[which[r] + 1]] for r in rows] for rows in (x, y)]
+        flat = [np.concatenate(c) if c else np.zeros(0, np.uint64) for c in own]
+        shared = np.intersect1d(*flat)
+        common = np.zeros((len(x), len(y)), np.float32)
+        held = []
+        for c, f in zip(own, flat, strict=True):
+            row = np.repeat(np.arange(len(c)), [len(v) for v in c])
+            at = np.searchsorted(shared, f)
+            both = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == f) if len(
+                shared) else np.zeros(len(f), bool)
+            held.append((row[both], at[both]))
+        for start in range(0, len(shared), 4096):
+            width = min(4096, len(shared) - start)
+            sides = []
+            for (row, at), c in zip(held, own, strict=True):
+                now = (at >= start) & (at < start + width)
+                m = np.zeros((len(c), width), np.float32)
+                m[row[now], at[now] - start] = 1
+                sides.append(m)
+            common += sides[0] @ sides[1].T
+        size = [np.array([len(v) for v in c], np.float32) for c in own]
+        union = size[0][:, None] + size[1][None, :] - common
+        near = (common >= threshold * union - 1e-4) & (group[x][:, None] != group[y][None, :])
+        i, j = np.nonzero(near)
+        a, b = np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])
+        once = np.unique(np.stack([ids[x[i]], group[y[j]]], axis=1), axis=0, return_index=True)[
+            1] if len(i) else i
+        return pa.table({"a": a[once], "b": b[once]})
+
+    met = dealt(outside, "xb", "k", "yb", "n", 0).union(dealt(all_of, "yb", "n", "xb", "k", 1))
+    return met.join(texts, "id").groupBy("family", "xb", "yb").applyInArrow(
+        run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -186,16 +186,19 @@ def test_near_duplicate_query(spark, folder):
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
 
 
-def test_near_duplicates_of_one_family(spark):
-    """Many variants of one text: links between any two of them count, not only to one."""
+@pytest.mark.parametrize("hot_pairs", [3, 10**9])
+def test_near_duplicates_of_one_family(spark, monkeypatch, hot_pairs):
+    """Many variants of one text: links between any two count, met in blocks or in pairs."""
     import numpy as np
 
+    monkeypatch.setattr(minhash, "HOT_PAIRS", hot_pairs)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 120)]
     docs = [(0, " ".join(base)), (1, " ".join(base))]
     for i in range(2, 300):
         words = list(base)
-        for k in rng.choice(120, rng.integers(1, 5), replace=False):
+        for k in rng.choice(120, rng.integers(1, 7), replace=False):
             words[k] = f"x{rng.integers(0, 10**6)}"
         docs.append((i, " ".join(words)))
     rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
