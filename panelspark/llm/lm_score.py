@@ -64,6 +64,16 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return unpack_ints(data).astype(np.int64)
 
 
+def squeezed(data: bytes) -> bytes:
+    """Zstandard bytes after their length: frequent words have small codes, which compress."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(
+        data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """block, doc_ids, lengths, hashes and codes of documents(doc_id, text).
 
@@ -82,7 +92,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
                 "hashes": [pack_ints(hashes)],
-                "codes": [pack_ints(place[index] if len(index) else index)]})
+                "codes": [squeezed(pack_ints(place[index] if len(index) else index))]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "block binary, doc_ids array<long>, lengths array<long>, hashes binary, "
@@ -107,7 +117,7 @@ def grams(hashes: np.ndarray, codes: np.ndarray, lengths: np.ndarray, order: int
 
 
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (unpack_ints(row["hashes"]), unpack_counts(row["codes"]),
+    return (unpack_ints(row["hashes"]), unpack_counts(unsqueezed(row["codes"])),
             np.array(row["lengths"], np.int64))
 
 
