@@ -205,12 +205,9 @@ def position_baselines(panel: DataFrame, players: DataFrame) -> DataFrame:
                  F.count("total_points").alias("played_gw")))
 
 
-def quartile_table(df: DataFrame, bucket_by: str, target: str, group: str = "position",
-                   *, min_rows: int | None = None,
-                   check: scale.SizeCheck | None = None) -> DataFrame:
+def quartile_table(df: DataFrame, bucket_by: str, target: str, group: str = "position") -> DataFrame:
     """Mean target per group and quartile of another column."""
-    cuts = scale.exact_quantiles(df, [], bucket_by, (0.25, 0.5, 0.75), "cuts",
-                                 min_rows=min_rows, check=check).scalar()
+    cuts = scale.exact_quantiles(df, [], bucket_by, (0.25, 0.5, 0.75), "cuts").scalar()
     b = F.col(bucket_by)
     quarter = (F.when(b < F.get(cuts, F.lit(0)), 1).when(b < F.get(cuts, F.lit(1)), 2)
                .when(b < F.get(cuts, F.lit(2)), 3).otherwise(4))
@@ -349,10 +346,9 @@ def goal_states(matches: DataFrame) -> DataFrame:
 
 
 def sampling_summary(draws: DataFrame, value: str, levels: Sequence[float],
-                     names: Sequence[str], thresholds: Sequence[float] = (80.0, 90.0),
-                     *, min_rows: int | None = None) -> DataFrame:
+                     names: Sequence[str], thresholds: Sequence[float] = (80.0, 90.0)) -> DataFrame:
     """Mean, population spread, quantiles and tail shares as (stat, value) rows."""
-    q = scale.exact_quantiles(draws, [], value, levels, "q", min_rows=min_rows).scalar()
+    q = scale.exact_quantiles(draws, [], value, levels, "q").scalar()
     one = draws.agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         *[F.avg((F.col(value) >= t).cast("double")).alias(f"p_ge_{t:g}") for t in thresholds])

@@ -22,7 +22,7 @@ def squad_gw_totals(basket: DataFrame, per_gw: DataFrame) -> DataFrame:
                  F.count("player_code").alias("n_players")))
 
 
-def round_robin(gw_totals: DataFrame, *, min_rows: int | None = None) -> DataFrame:
+def round_robin(gw_totals: DataFrame) -> DataFrame:
     """Record of every squad against every other squad of its periods, without pairs.
 
     A squad beats the totals below its own, so wins, draws and losses follow from its
@@ -30,8 +30,7 @@ def round_robin(gw_totals: DataFrame, *, min_rows: int | None = None) -> DataFra
     sum to n*d and their squares to n*d*d + n*variance.
     """
     ranked = scale.with_value_ranks(
-        gw_totals.select("team_id", "gw", "gw_total"), ["gw"], "gw_total", "r",
-        min_rows=min_rows)
+        gw_totals.select("team_id", "gw", "gw_total"), ["gw"], "gw_total", "r")
     moments = gw_totals.groupBy("gw").agg(
         F.avg("gw_total").alias("mu"), F.var_pop("gw_total").alias("var"),
         F.count("gw_total").alias("n"))
@@ -99,7 +98,7 @@ def expected_record(squad_dist: DataFrame, *, block_rows: int = 512) -> DataFram
     wins = _expected_wins("cells.sample_mean", "cells.sample_std", "rivals.sample_mean",
                           "rivals.sample_std", "rivals.n")
     per_cell = (
-        scale.spread(left, "gw", "other").join(right, ["gw", "other"]).select("gw", "cells", wins.alias("wins"))
+        left.join(right, ["gw", "other"]).select("gw", "cells", wins.alias("wins"))
         .select("gw", F.explode(F.arrays_zip("cells", "wins")).alias("z"))
         .groupBy("gw", F.col("z.cells.sample_mean").alias("sample_mean"),
                  F.col("z.cells.sample_std").alias("sample_std"))
@@ -145,8 +144,8 @@ def sampled_totals(basket: DataFrame, vectors: DataFrame, *, n_samples: int = 10
     uniform = F.pmod(F.xxhash64(F.lit(seed), "team_id", "gw", "player_code", "draw"),
                      F.lit(1 << 53)) / float(1 << 53)
     draws = (
-        scale.spread(basket.select("team_id", "player_code").join(
-            vectors.select("player_code", "gw", "vector"), "player_code"), "team_id", "gw")
+        basket.select("team_id", "player_code").join(
+            vectors.select("player_code", "gw", "vector"), "player_code")
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
         .withColumn("u", uniform)
         .groupBy("team_id", "gw", "draw")

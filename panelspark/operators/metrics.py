@@ -41,53 +41,38 @@ def pinball(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
 
 # --- order -------------------------------------------------------------------
 
-def spearman_by_period(df: DataFrame, group: str = "gw",
-                       *, min_rows: int | None = None) -> DataFrame:
+def spearman_by_period(df: DataFrame, group: str = "gw") -> DataFrame:
     """Rank correlation per period with average ranks; periods of one row are left out."""
-    check = scale.size_check(df, [group], min_rows)
-    how = {"min_rows": min_rows, "check": check}
-    ranked = scale.with_value_ranks(df, [group], "actual", "a", **how)
-    ranked = scale.with_value_ranks(ranked, [group], "pred", "p", **how)
+    ranked = scale.with_value_ranks(df, [group], "actual", "a")
+    ranked = scale.with_value_ranks(ranked, [group], "pred", "p")
     rank = lambda p: F.col(f"{p}_before") + (F.col(f"{p}_eq") + 1) / 2.0
     return (ranked.groupBy(group)
             .agg(X.correlation(rank("a"), rank("p")).alias("rho"), F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= 2))
 
 
-def concordance_by_period(df: DataFrame, group: str = "gw",
-                          *, min_rows: int | None = None) -> DataFrame:
+def concordance_by_period(df: DataFrame, group: str = "gw") -> DataFrame:
     """Share of ordered row pairs that both columns order alike; ties disagree."""
-    pairs = scale.order_code_pairs(df, [group], "actual", "pred", min_rows=min_rows)
+    pairs = scale.order_code_pairs(df, [group], "actual", "pred")
     return pairs.where(F.col("n") >= 2).select(
         group, "n", (2.0 * F.col("concordant") / (F.col("n") * (F.col("n") - 1)))
         .alias("concordance"))
 
 
 def with_top_fraction(df: DataFrame, keys: Sequence[str], by: str, name: str,
-                      top: float = 0.10, tie: str = "player_code", *,
-                      min_rows: int | None = None,
-                      check: scale.SizeCheck | None = None) -> DataFrame:
+                      top: float = 0.10, tie: str = "player_code") -> DataFrame:
     """Flag the first ``max(1, ceil(n * top))`` rows per group by ``by``, ties by key."""
-    check = check or scale.size_check(df, keys, min_rows)
-    if check.small:
-        group = Window.partitionBy(*keys)
-        place = F.row_number().over(group.orderBy(F.col(by).desc(), F.col(tie).asc()))
-        n = F.count(F.lit(1)).over(group)
-        return df.withColumn(name, place <= F.greatest(F.lit(1), F.ceil(n * float(top))))
-    placed = scale.row_positions(df, keys, [(by, "desc"), (tie, "asc")], "__pos",
-                                 min_rows=min_rows, check=check)
+    placed = scale.row_positions(df, keys, [(by, "desc"), (tie, "asc")], "__pos")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     k = F.greatest(F.lit(1), F.ceil(F.col("__n") * float(top)))
     return placed.join(sizes, list(keys)).withColumn(
         name, F.col("__pos") < k).drop("__pos", "__n")
 
 
-def topk_hit_rate(df: DataFrame, top: float = 0.10, group: str = "gw",
-                  *, min_rows: int | None = None) -> DataFrame:
+def topk_hit_rate(df: DataFrame, top: float = 0.10, group: str = "gw") -> DataFrame:
     """Share of the actual top rows that the forecast also put at the top, over all periods."""
-    how = {"min_rows": min_rows, "check": scale.size_check(df, [group], min_rows)}
-    both = with_top_fraction(df, [group], "actual", "a_top", top, **how)
-    both = with_top_fraction(both, [group], "pred", "p_top", top, **how)
+    both = with_top_fraction(df, [group], "actual", "a_top", top)
+    both = with_top_fraction(both, [group], "pred", "p_top", top)
     per = both.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("a_top") & F.col("p_top")).alias("hits"),
         F.count_if("a_top").alias("k")).where(F.col("n") >= 2)
@@ -96,35 +81,30 @@ def topk_hit_rate(df: DataFrame, top: float = 0.10, group: str = "gw",
         "hits", "k", F.coalesce(F.try_divide("hits", "k"), F.lit(0.0)).alias("topk_hit_rate"))
 
 
-def ranking_metrics(df: DataFrame, top: float = 0.10,
-                    *, min_rows: int | None = None) -> DataFrame:
-    rho = spearman_by_period(df, min_rows=min_rows).agg(F.avg("rho")).scalar()
-    agree = concordance_by_period(df, min_rows=min_rows).agg(F.avg("concordance")).scalar()
-    hit = topk_hit_rate(df, top, min_rows=min_rows).select("topk_hit_rate").scalar()
+def ranking_metrics(df: DataFrame, top: float = 0.10) -> DataFrame:
+    rho = spearman_by_period(df).agg(F.avg("rho")).scalar()
+    agree = concordance_by_period(df).agg(F.avg("concordance")).scalar()
+    hit = topk_hit_rate(df, top).select("topk_hit_rate").scalar()
     return df.agg(F.count(F.lit(1)).alias("n")).select(
         rho.alias("spearman_rho"), hit.alias("topk_hit_rate"),
         agree.alias("pairwise_concordance"), "n")
 
 
-def reference_rankings(df: DataFrame, columns: Mapping[str, str],
-                       *, min_rows: int | None = None) -> DataFrame:
+def reference_rankings(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Ranking metrics of naive forecasts on the rows with an outcome; missing ones are 0."""
     rows = df.where(F.col("actual").isNotNull())
     out = None
     for name, column in columns.items():
-        part = ranking_metrics(rows.withColumn("pred", F.coalesce(F.col(column), F.lit(0.0))),
-                               min_rows=min_rows).select(F.lit(name).alias("name"), "*")
+        part = ranking_metrics(rows.withColumn("pred", F.coalesce(F.col(column), F.lit(0.0)))).select(F.lit(name).alias("name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 # --- calibration ----------------------------------------------------------------
 
-def calibration_bins(df: DataFrame, bins: int = 10,
-                     *, min_rows: int | None = None) -> DataFrame:
+def calibration_bins(df: DataFrame, bins: int = 10) -> DataFrame:
     """Mean forecast and outcome per bin between forecast quantiles; empty bins are absent."""
-    edges = scale.exact_quantiles(df, [], "pred", [i / bins for i in range(bins + 1)], "e",
-                                  min_rows=min_rows).scalar()
+    edges = scale.exact_quantiles(df, [], "pred", [i / bins for i in range(bins + 1)], "e").scalar()
     lower = F.filter(F.slice("__edges", 1, bins), lambda e: e <= F.col("pred"))
     return (df.select("pred", "actual", edges.alias("__edges"))
             .withColumn("bin", F.size(lower)).groupBy("bin")
@@ -132,8 +112,8 @@ def calibration_bins(df: DataFrame, bins: int = 10,
                  F.avg("actual").alias("mean_actual")))
 
 
-def ece(df: DataFrame, bins: int = 10, *, min_rows: int | None = None) -> DataFrame:
-    table = calibration_bins(df, bins, min_rows=min_rows)
+def ece(df: DataFrame, bins: int = 10) -> DataFrame:
+    table = calibration_bins(df, bins)
     gap = F.abs(F.col("mean_pred") - F.col("mean_actual"))
     return table.agg(F.coalesce(F.try_divide(F.sum(F.col("n") * gap), F.sum("n")), F.lit(0.0))
                      .alias("ece"))
@@ -148,9 +128,8 @@ def cal_line(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(*_line_aggregates())
 
 
-def calibration_metrics(df: DataFrame, bins: int = 10,
-                        *, min_rows: int | None = None) -> DataFrame:
-    gap = ece(df, bins, min_rows=min_rows).scalar()
+def calibration_metrics(df: DataFrame, bins: int = 10) -> DataFrame:
+    gap = ece(df, bins).scalar()
     ratio = F.try_divide(F.var_pop("actual"), F.var_pop("pred")).alias("variance_ratio")
     one = df.agg(*_point_aggregates(), *_line_aggregates(), ratio)
     return one.select("mae", "rmse", gap.alias("ece"), "slope", "intercept",
@@ -160,14 +139,12 @@ def calibration_metrics(df: DataFrame, bins: int = 10,
 
 # --- cohorts --------------------------------------------------------------------
 
-def with_cohorts(df: DataFrame, top: float = 0.10, position: str | None = "position",
-                 *, min_rows: int | None = None) -> DataFrame:
+def with_cohorts(df: DataFrame, top: float = 0.10, position: str | None = "position") -> DataFrame:
     """Flags ``top10`` and ``top10_by_position``, read from forecasts alone."""
-    how = {"min_rows": min_rows, "check": scale.size_check(df, ["gw"], min_rows)}
-    out = with_top_fraction(df, ["gw"], "pred", "top10", top, **how)
+    out = with_top_fraction(df, ["gw"], "pred", "top10", top)
     if position is None:
         return out.withColumn("top10_by_position", F.lit(False))
-    return with_top_fraction(out, ["gw", position], "pred", "top10_by_position", top, **how)
+    return with_top_fraction(out, ["gw", position], "pred", "top10_by_position", top)
 
 
 def by_cohort(df: DataFrame, cohorts: Mapping[str, Column],
@@ -178,45 +155,39 @@ def by_cohort(df: DataFrame, cohorts: Mapping[str, Column],
             .groupBy("cohort").agg(*(aggregates or _point_aggregates())))
 
 
-def cohort_metrics(df: DataFrame, top: float = 0.10,
-                   *, min_rows: int | None = None) -> DataFrame:
-    flagged = with_cohorts(df, top, min_rows=min_rows)
+def cohort_metrics(df: DataFrame, top: float = 0.10) -> DataFrame:
+    flagged = with_cohorts(df, top)
     return by_cohort(flagged, {"all": F.lit(True), "top10": F.col("top10"),
                                "top10_by_position": F.col("top10_by_position")})
 
 
 def top_fraction_by_average_rank(df: DataFrame, keys: Sequence[str], by: str, name: str,
-                                 top: float = 0.10, *, min_rows: int | None = None,
-                                 check: scale.SizeCheck | None = None) -> DataFrame:
+                                 top: float = 0.10) -> DataFrame:
     """Flag rows with average descending rank at most ``n * top`` (no minimum of one)."""
-    ranked = scale.with_value_ranks(df, keys, by, "__r", min_rows=min_rows, check=check)
+    ranked = scale.with_value_ranks(df, keys, by, "__r")
     above = F.col("__r_total") - F.col("__r_before") - F.col("__r_eq")
     rank = above + (F.col("__r_eq") + 1) / 2.0
     return ranked.withColumn(name, rank <= F.col("__r_total") * float(top)).drop(
         "__r_before", "__r_eq", "__r_total")
 
 
-def residual_quantiles(fit: DataFrame, q: float, keys: Sequence[str] = ("position", "bucket"),
-                       *, min_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def residual_quantiles(fit: DataFrame, q: float, keys: Sequence[str] = ("position", "bucket")) -> tuple[DataFrame, DataFrame]:
     """Quantile of actual - pred over all rows (one row) and per group."""
     rows = fit.withColumn("residual", F.col("actual") - F.col("pred"))
-    get = lambda part: scale.exact_quantiles(rows, part, "residual", (q,), "v",
-                                             min_rows=min_rows)
+    get = lambda part: scale.exact_quantiles(rows, part, "residual", (q,), "v")
     pick = F.get("v", F.lit(0)).alias("residual_q")
     return get([]).select(pick), get(list(keys)).select(*keys, pick)
 
 
 def tail_comparison(fit: DataFrame, test: DataFrame, q: float,
-                    keys: Sequence[str] = ("position", "bucket"),
-                    *, min_rows: int | None = None) -> DataFrame:
+                    keys: Sequence[str] = ("position", "bucket")) -> DataFrame:
     """Coverage and pinball loss of a shared and a grouped residual quantile, per cohort."""
-    whole, grouped = residual_quantiles(fit, q, keys, min_rows=min_rows)
+    whole, grouped = residual_quantiles(fit, q, keys)
     shared = whole.scalar()
     rows = test.join(grouped, list(keys), "left").withColumn(
         "residual_q", F.coalesce("residual_q", shared))
-    how = {"min_rows": min_rows, "check": scale.size_check(test, ["gw"], min_rows)}
-    rows = top_fraction_by_average_rank(rows, ["gw"], "pred", "top10", **how)
-    rows = top_fraction_by_average_rank(rows, ["gw", "position"], "pred", "top10_by_pos", **how)
+    rows = top_fraction_by_average_rank(rows, ["gw"], "pred", "top10")
+    rows = top_fraction_by_average_rank(rows, ["gw", "position"], "pred", "top10_by_pos")
     arms = F.array(
         F.struct(F.lit("global").alias("arm"), (F.col("pred") + shared).alias("upper")),
         F.struct(F.lit("position+bucket").alias("arm"),

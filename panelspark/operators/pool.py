@@ -45,35 +45,14 @@ def within_average_rank(df: DataFrame, keys: Sequence[str], value: str, k: int)
     return df.join(kept, [*keys, value], "left_semi")
 
 
-def _filter_small_pool(pool: DataFrame, top_k_per_position: int, max_per_team: int,
-                       reserve_top: int) -> DataFrame:
-    """The same rules with windows, for a pool that was counted."""
-    def average_rank(*keys: str) -> Column:
-        w = Window.partitionBy("__reserved", *keys).orderBy(F.col("expected_total").desc())
-        peers = w.rangeBetween(Window.currentRow, Window.currentRow)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(peers) - 1) / 2.0
-
-    overall = Window.partitionBy(F.lit(0)).orderBy(F.col("expected_total").desc(),
-                                                   "player_code")
-    reserved = F.col("__reserved")
-    marked = pool.withColumn("__reserved", F.row_number().over(overall) <= reserve_top)
-    per_position = marked.withColumn("__rank", average_rank("position")).where(
-        reserved | (F.col("__rank") <= top_k_per_position))
-    per_club = per_position.withColumn("__rank", average_rank("team_code")).where(
-        reserved | (F.col("__rank") <= max_per_team))
-    return per_club.drop("__reserved", "__rank")
-
-
 def filter_pool(scored: DataFrame, available: DataFrame, *, top_k_per_position: int = 30,
                 max_per_team: int = 4, reserve_top: int = 20, min_price: float = 0.0,
-                max_price: float = 100.0, min_rows: int | None = None) -> DataFrame:
+                max_price: float = 100.0) -> DataFrame:
     """The overall best, plus the best per position, then per club among those."""
     side = (available.where((F.col("minutes_in_window") > 0)
                             & F.col("now_cost").between(min_price, max_price))
             .select("player_code", "minutes_in_window", "now_cost"))
     pool = scored.join(side, "player_code")
-    if scale.size_check(scored, [], min_rows).small:
-        return _filter_small_pool(pool, top_k_per_position, max_per_team, reserve_top)
     reserved = pool.orderBy(F.col("expected_total").desc(), "player_code").limit(reserve_top)
     rest = pool.join(reserved.select("player_code"), "player_code", "left_anti")
     rest = within_average_rank(rest, ["position"], "expected_total", top_k_per_position)
@@ -120,7 +99,8 @@ def ranked_page(df: DataFrame, sort: str | None, *, descending: bool = False,
     """One page of a sorted table, nulls last in both directions."""
     if sort is not None and sortable is not None and sort not in sortable:
         raise ValueError(f"cannot sort by {sort!r}")
+    order = [F.col(tie).asc()]
     if sort is not None and sort in df.columns:
         first = F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()
-        df = df.orderBy(first, F.col(tie).asc())
-    return df.offset(offset).limit(limit)
+        order.insert(0, first)
+    return df.orderBy(*order).offset(offset).limit(limit)

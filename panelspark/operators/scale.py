@@ -1,86 +1,25 @@
 """Order statistics that stay whole when one group holds most of the rows.
 
-A window over a group sorts that group in one task. The functions here first check
-the group sizes (two aggregates, one row back to the driver). While every group is
-small they use a plain window. A group above the limit is cut at approximate
-quantiles into ranges, each range is summed in its own task, and the totals of the
-lower ranges are added, so the numbers are the same and no task sees a whole group.
-
-A group counts as large above ``max(min_rows, rows / HOT_SHARE)``; fewer than
-``HOT_SHARE`` groups can be that large, so the list of large groups and their cut
-points (``HOT_SHARE * SPLITS`` numbers at most) is safe to hold on the driver.
+A window over a group would sort that group in one task. Here the values of all groups are cut
+at the same approximate quantiles into ranges, about two for every shuffle partition. A range
+holds its share of all distinct (group, value) cells, so a window over (group, range) is small
+whichever group is large; totals of the lower ranges are added. There is one way for all sizes,
+it is a plan without jobs of its own, and results are exact: the cuts only deal out work.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.session import use_checkpoint_dir
 
-HOT_SHARE = 200
-SPLITS = 256
-MIN_ROWS = 2_000_000
-BROADCAST_ROWS = 200_000
-VALUES_IN_MEMORY = 100_000
-
-
-@dataclass(frozen=True)
-class SizeCheck:
-    """Row count and the largest group, as seen by one aggregate."""
-
-    rows: int
-    largest: int
-    min_rows: int
-
-    @property
-    def limit(self) -> int:
-        return max(self.min_rows, self.rows // HOT_SHARE)
-
-    @property
-    def small(self) -> bool:
-        return self.largest <= self.limit
-
-
-SEEN_SECONDS = 300
-_ROWS_SEEN: dict[int, tuple[int, float]] = {}
-
-
-def size_check(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> SizeCheck:
-    """Count rows and the largest group of ``keys`` (only the key columns are read).
-
-    A table that was counted within ``SEEN_SECONDS`` and is small as a whole needs no
-    second look. A stale count can only choose the slower of two exact ways.
-    """
-    min_rows = MIN_ROWS if min_rows is None else min_rows
-    plan = df.semanticHash()
-    rows, when = _ROWS_SEEN.get(plan, (0, 0.0))
-    if when and time.monotonic() - when < SEEN_SECONDS and rows <= min_rows:
-        return SizeCheck(rows, rows, min_rows)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    _ROWS_SEEN[plan] = (int(row["rows"] or 0), time.monotonic())
-    return SizeCheck(int(row["rows"] or 0), int(row["largest"] or 0), min_rows)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting at most ``limit + 1`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partitions by ``keys``, as many as the session's shuffle partitions.
-
-    For steps that spend much time per byte: partitions sized by bytes would leave most
-    cores idle. A following groupBy on the keys needs no further shuffle.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+def _ranges(df: DataFrame) -> int:
+    """A power of two, at least the session's shuffle partitions and 16."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(16, 1 << partitions.bit_length())
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -104,45 +43,20 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return out.withColumnRenamed("__rn", rank_name)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a table that several later steps read.
-
-    Only on the way for large groups, where each step would otherwise work out the ones
-    before it again. Without a checkpoint folder the table stays a plan.
-    """
-    return df.checkpoint() if use_checkpoint_dir(df.sparkSession) else df
-
-
 def _same(keys: Sequence[str]) -> Column:
     """Join condition ``key <=> __key`` (null keys form a group of their own)."""
     return reduce(lambda a, b: a & b,
                   [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
 
 
-def _cut_points(cells: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:
-    """One row per large group with the values at which it is cut.
-
-    Both tables taken to the driver are bounded: fewer than ``HOT_SHARE`` groups, and
-    ``SPLITS`` numbers for each. Taken once, the cuts are the same for every later stage
-    and every retry.
-    """
-    spark = cells.sparkSession
-    named = [F.col(k).alias(f"__{k}") for k in keys]
-    large = (cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-             .where(F.col("__n") > limit).select(*named, "__n"))
-    large = F.broadcast(spark.createDataFrame(large.collect(), large.schema))
-    levels = [i / SPLITS for i in range(1, SPLITS)]
-    cuts = (
-        cells.join(large, _same(keys)).groupBy(*[f"__{k}" for k in keys])
-        .agg(F.sort_array(F.array_distinct(F.percentile_approx(
-            F.col(order).cast("double"), levels, 10 * SPLITS))).alias("__cuts")))
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
-
-
-def _with_range(df: DataFrame, order: str) -> DataFrame:
-    """Number of cuts below the row's value, by binary search in the sorted cuts."""
-    out = df.withColumn("__range", F.lit(0))
-    step = SPLITS // 2
+def _with_range(cells: DataFrame, order: str) -> DataFrame:
+    """``__range``: number of cuts below the row's value, by binary search in the cuts."""
+    n = _ranges(cells)
+    levels = [i / n for i in range(1, n)]
+    cuts = cells.agg(F.sort_array(F.array_distinct(F.percentile_approx(
+        F.col(order).cast("double"), levels, 10 * n)))).scalar()
+    out = cells.withColumns({"__cuts": cuts, "__range": F.lit(0)})
+    step = n // 2
     while step:
         at = F.get("__cuts", F.col("__range") + (step - 1))
         out = out.withColumn("__range", F.col("__range") + F.when(
@@ -156,63 +70,39 @@ def running_before(
     keys: Sequence[str],
     order: str,
     sums: Mapping[str, str],
-    *,
-    min_rows: int | None = None,
-    check: SizeCheck | None = None,
 ) -> DataFrame:
     """Per row: the sum of each measure over the rows of its group with a lower ``order``.
 
-    ``cells`` holds one row per (keys, order) and ``order`` is numeric. ``sums`` maps a
-    measure to a prefix; the result gains ``{prefix}_before`` and ``{prefix}_total``.
-    ``check`` is a size check of a table whose groups are at least as large as ours.
+    ``cells`` holds one row per (keys, order) and ``order`` is numeric and not null. ``sums``
+    maps a measure to a prefix; the result gains ``{prefix}_before`` and ``{prefix}_total``.
     """
     keys = list(keys)
-    if check is None or not check.small:
-        check = size_check(cells, keys, min_rows)
-
-    def local(df: DataFrame, part: Sequence[str]) -> DataFrame:
-        spec = Window.partitionBy(*(part or [F.lit(0)])).orderBy(order)
-        before = spec.rowsBetween(Window.unboundedPreceding, -1)
-        whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumns({
-            **{f"{p}_before": F.coalesce(F.sum(m).over(before), F.lit(0).cast("bigint"))
-               for m, p in sums.items()},
-            **{f"{p}_total": F.sum(m).over(whole) for m, p in sums.items()},
-        })
-
-    if check.small:
-        return local(cells, keys)
-
-    cells = cut_lineage(cells)
-    cuts = F.broadcast(_cut_points(cells, keys, order, check.limit))
-    tagged = cells.join(cuts, _same(keys), "left").select(*cells.columns, "__cuts")
-    cold = local(tagged.where(F.col("__cuts").isNull()).drop("__cuts"), keys)
-    hot = _with_range(tagged.where(F.col("__cuts").isNotNull()), order)
-    # Totals per range: fewer than HOT_SHARE groups times SPLITS ranges.
-    totals = hot.groupBy(*keys, "__range").agg(
+    # Keys in one struct, in which nulls are equal: joins then need no second shuffle.
+    group = F.struct(*keys) if keys else F.lit(0)
+    tagged = _with_range(cells, order).withColumn("__group", group)
+    inside = Window.partitionBy("__group", "__range").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    local = tagged.withColumns({
+        f"{p}_before": F.coalesce(F.sum(m).over(inside), F.lit(0).cast("bigint"))
+        for m, p in sums.items()})
+    totals = tagged.groupBy("__group", "__range").agg(
         *[F.sum(m).alias(f"__{p}") for m, p in sums.items()])
-    spec = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")
+    spec = Window.partitionBy("__group").orderBy("__range")  # at most a row for each range
     lower = spec.rowsBetween(Window.unboundedPreceding, -1)
     whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
-        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("____range"),
+        "__group", "__range",
         *[F.coalesce(F.sum(f"__{p}").over(lower), F.lit(0).cast("bigint")).alias(f"__{p}_low")
           for p in sums.values()],
-        *[F.sum(f"__{p}").over(whole).alias(f"__{p}_all") for p in sums.values()],
-    )
-    inside = local(hot, [*keys, "__range"])
-    joined = inside.join(F.broadcast(offsets), _same([*keys, "__range"]))
-    done = joined.select(
-        *[F.col(c) for c in cells.columns],
+        *[F.sum(f"__{p}").over(whole).alias(f"{p}_total") for p in sums.values()])
+    return local.join(offsets, ["__group", "__range"]).select(
+        *cells.columns,
         *[(F.col(f"{p}_before") + F.col(f"__{p}_low")).alias(f"{p}_before")
           for p in sums.values()],
-        *[F.col(f"__{p}_all").alias(f"{p}_total") for p in sums.values()],
-    )
-    return cold.select(*done.columns).unionByName(done)
+        *[f"{p}_total" for p in sums.values()])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *,
-                min_rows: int | None = None, check: SizeCheck | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, value): ``n_eq``, ``n_before`` (rows below), ``n_total``.
 
     Equal values are counted before the shuffle, so a value that fills a third of a
@@ -220,8 +110,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *,
     """
     cells = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
              .agg(F.count(F.lit(1)).alias("n_eq")))
-    check = check or size_check(df, keys, min_rows)
-    return running_before(cells, keys, value, {"n_eq": "n"}, min_rows=min_rows, check=check)
+    return running_before(cells, keys, value, {"n_eq": "n"})
 
 
 def average_rank(descending: bool = False) -> Column:
@@ -231,26 +120,14 @@ def average_rank(descending: bool = False) -> Column:
     return below + (F.col("n_eq") + 1) / 2.0
 
 
-def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str, *,
-                     min_rows: int | None = None,
-                     check: SizeCheck | None = None) -> DataFrame:
+def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str) -> DataFrame:
     """Every row with ``{prefix}_eq``, ``{prefix}_before`` and ``{prefix}_total``.
 
-    ``{prefix}_total`` counts the rows of the group with a value.
+    ``{prefix}_total`` counts the rows of the group with a value. A row without a value has
+    null in all three.
     """
     keys = list(keys)
-    check = check or size_check(df, keys, min_rows)
-    if check.small:
-        spec = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(value).asc_nulls_last())
-        peers = spec.rangeBetween(Window.currentRow, Window.currentRow)
-        whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumns({
-            f"{prefix}_before": (F.rank().over(spec) - 1).cast("bigint"),
-            f"{prefix}_total": F.count(value).over(whole),
-            f"{prefix}_eq": F.count(value).over(peers),
-        })
-    df = cut_lineage(df)
-    ranks = value_ranks(df, keys, value, min_rows=min_rows, check=check).select(
+    ranks = value_ranks(df, keys, value).select(
         *[F.col(k).alias(f"__{k}") for k in [*keys, value]],
         F.col("n_eq").alias(f"{prefix}_eq"), F.col("n_before").alias(f"{prefix}_before"),
         F.col("n_total").alias(f"{prefix}_total"))
@@ -261,26 +138,17 @@ def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str
 
 
 def row_positions(df: DataFrame, keys: Sequence[str],
-                  order: Sequence[tuple[str, str]], name: str, *,
-                  min_rows: int | None = None,
-                  check: SizeCheck | None = None) -> DataFrame:
+                  order: Sequence[tuple[str, str]], name: str) -> DataFrame:
     """Zero-based position of every row in its group.
 
     ``order`` lists ``(column, 'asc' | 'desc')`` with non-null numeric columns and ends
-    in a column that is unique within the group. Large groups are placed one order
-    column at a time: rows with a better value come first, ties go on to the next one.
+    in a column that is unique within the group. Rows are placed one order column at a time:
+    rows with a better value come first, ties go on to the next one.
     """
-    keys = list(keys)
-    check = check or size_check(df, keys, min_rows)
-    if check.small:
-        spec = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(
-            *[F.col(c).desc() if how == "desc" else F.col(c).asc() for c, how in order])
-        return df.withColumn(name, (F.row_number().over(spec) - 1).cast("bigint"))
     out = df.withColumn(name, F.lit(0).cast("bigint"))
     part = list(keys)
     for column, how in order:
-        # The groups only get finer, so the first check bounds the later ones.
-        ranks = value_ranks(out, part, column, min_rows=min_rows, check=check)
+        ranks = value_ranks(df, part, column)
         ahead = (F.col("n_total") - F.col("n_before") - F.col("n_eq")) if how == "desc" \
             else F.col("n_before")
         part = [*part, column]
@@ -289,29 +157,18 @@ def row_positions(df: DataFrame, keys: Sequence[str],
         out = (out.join(ranks, _same(part), "left")
                .withColumn(name, F.col(name) + F.coalesce("__ahead", F.lit(0)))
                .drop("__ahead", *[f"__{k}" for k in part]))
-        out = cut_lineage(out)
     return out
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    levels: Sequence[float], name: str = "quantiles", *,
-                    min_rows: int | None = None,
-                    check: SizeCheck | None = None) -> DataFrame:
+                    levels: Sequence[float], name: str = "quantiles") -> DataFrame:
     """Linear-interpolated quantiles per group as one array column.
 
-    The built-in aggregate keeps the distinct values of a group in memory and is used
-    while no group has more than ``VALUES_IN_MEMORY`` rows. Beyond that the values are
-    ranked, and only the order statistics next to each level leave the ranked cells: two
-    per level.
+    The values are ranked, and only the order statistics next to each level leave the
+    ranked cells: two per level. No group is held in memory.
     """
     keys = list(keys)
-    check = check or size_check(df, keys, min_rows)
-    if check.largest <= min(VALUES_IN_MEMORY, check.min_rows):
-        at = F.array(*[F.lit(float(q)) for q in levels])
-        out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-            F.percentile(F.col(value).cast("double"), at).alias(name))
-        return out.where(F.col(name).isNotNull())
-    ranked = value_ranks(df, keys, value, min_rows=min_rows, check=check)
+    ranked = value_ranks(df, keys, value)
     wanted = F.array(*[
         F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("n_total") - 1)).alias("h"))
         for i, q in enumerate(levels)])
@@ -334,9 +191,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
             .select(*keys, F.transform("__q", lambda s: s["v"]).alias(name)))
 
 
-def order_code_pairs(df: DataFrame, keys: Sequence[str], first: str, second: str,
-                     *, min_rows: int | None = None,
-                     check: SizeCheck | None = None) -> DataFrame:
+def order_code_pairs(df: DataFrame, keys: Sequence[str], first: str,
+                     second: str) -> DataFrame:
     """Per group: ``n`` rows and ``concordant`` unordered pairs, without forming pairs.
 
     Two rows agree when both columns order them the same way, strictly. Each row gets an
@@ -349,8 +205,7 @@ def order_code_pairs(df: DataFrame, keys: Sequence[str], first: str, second: str
     cells = (df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
              .groupBy(*keys, first, second).agg(F.count(F.lit(1)).alias("__n")))
     codes = (cells.groupBy(*keys, first).agg(F.sum("__n").alias("__m")))
-    check = check or size_check(df, keys, min_rows)
-    codes = running_before(codes, keys, first, {"__m": "__c"}, min_rows=min_rows, check=check)
+    codes = running_before(codes, keys, first, {"__m": "__c"})
     coded = cells.join(
         codes.select(*keys, first, F.col("__c_before").alias("__code"),
                      F.col("__c_total").alias("__size")), [*keys, first])
@@ -364,8 +219,7 @@ def order_code_pairs(df: DataFrame, keys: Sequence[str], first: str, second: str
         .agg(F.sum(F.when(F.col("__bit") == 0, F.col("__n")).otherwise(0)).alias("__lo"),
              F.sum(F.when(F.col("__bit") == 1, F.col("__n")).otherwise(0)).alias("__hi"))
     )
-    summed = running_before(levels, [*keys, "__d", "__node"], second, {"__lo": "__below"},
-                            min_rows=min_rows, check=check)
+    summed = running_before(levels, [*keys, "__d", "__node"], second, {"__lo": "__below"})
     pairs = summed.groupBy(*keys).agg(
         F.sum(F.col("__hi") * F.col("__below_before")).alias("concordant"))
     sizes = cells.groupBy(*keys).agg(F.sum("__n").alias("n"))

@@ -44,10 +44,8 @@ def sketch_quantiles(sketches: DataFrame, levels: Sequence[float] = S.QS,
 
 
 def exact_residual_quantiles(df: DataFrame, keys: Sequence[str] = (),
-                             levels: Sequence[float] = S.QS,
-                             *, min_rows: int | None = None) -> DataFrame:
-    return scale.exact_quantiles(df, list(keys), "z", levels, "z_quantiles",
-                                 min_rows=min_rows)
+                             levels: Sequence[float] = S.QS) -> DataFrame:
+    return scale.exact_quantiles(df, list(keys), "z", levels, "z_quantiles")
 
 
 def quantile_forecast(scored: DataFrame, z: DataFrame, column: str = "z_quantiles",

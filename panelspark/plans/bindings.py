@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark import schemas as S
@@ -34,6 +34,8 @@ def money(c: str | Column) -> Column:
 def total(c: str | Column) -> Column:
     """Exact sum of amounts, as a double."""
     return F.sum(money(c)).cast("double")
+NEXT_SQUAD = 1_000_000_000_000  # above any customer key
+
 
 
 class Roles:
@@ -188,14 +190,21 @@ class Roles:
             self.t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
     def picks(self) -> DataFrame:
-        """The 15 squad places of a (customer, year): parts by quantity."""
+        """Squads of 15 places of a (customer, year): parts by quantity.
+
+        Parts beyond the first 15 make further squads, entries NEXT_SQUAD ids apart. A
+        customer's year holds a few dozen parts, so the window is over few rows.
+        """
         owned = self.lines().groupBy(
             F.col("o_custkey").alias("entry_id"),
             F.year("o_orderdate").cast("bigint").alias("gw"),
             F.col("l_partkey").alias("element")).agg(total("l_quantity").alias("quantity"))
-        placed = scale.top_n(owned, ["entry_id", "gw"],
-                             [F.col("quantity").desc(), F.col("element").asc()],
-                             S.SQUAD_SIZE, "position")
+        order = Window.partitionBy("entry_id", "gw").orderBy(F.col("quantity").desc(), "element")
+        before = F.row_number().over(order) - 1
+        placed = owned.withColumn("before", before).select(
+            (F.col("entry_id") + F.floor(F.col("before") / S.SQUAD_SIZE) * NEXT_SQUAD)
+            .alias("entry_id"), "gw", "element", "quantity",
+            (F.col("before") % S.SQUAD_SIZE + 1).alias("position"))
         slot = F.col("position")
         return placed.select(
             "entry_id", "gw", "element", "position",

@@ -302,8 +302,7 @@ def position_baselines(r):
     FROM f, c GROUP BY 1, 2""")
 def quartile_matchup(r):
     rows = r.features().join(r.players().select("player_code", "position"), "player_code")
-    check = scale.size_check(r.panel(), [])       # features are rows of the panel
-    return rounded(CO.quartile_table(rows, "opponent_elo", "next_points", check=check),
+    return rounded(CO.quartile_table(rows, "opponent_elo", "next_points"),
                    "mean_pts")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.plans.bindings import Roles
 from panelspark.plans.roles_sql import with_roles
+from panelspark.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Roles(spark, sf_dir))
 
 

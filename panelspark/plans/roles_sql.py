@@ -165,13 +165,14 @@ ROLES = {
         SELECT entry_id, gw, element, slot AS position,
                CASE WHEN slot = 1 THEN 2 WHEN slot <= 4 THEN 1 ELSE 0 END AS multiplier,
                slot = 1 AS is_captain, slot = 2 AS is_vice_captain, quantity
-        FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, gw
-                                           ORDER BY quantity DESC, element) AS slot
-              FROM (SELECT o_custkey AS entry_id, CAST(year(o_orderdate) AS BIGINT) AS gw,
+        FROM (SELECT customer + (place - 1) // 15 * 1000000000000 AS entry_id, gw, element,
+                     quantity, (place - 1) % 15 + 1 AS slot
+              FROM (SELECT *, row_number() OVER (PARTITION BY customer, gw
+                                                 ORDER BY quantity DESC, element) AS place
+                    FROM (SELECT o_custkey AS customer, CAST(year(o_orderdate) AS BIGINT) AS gw,
                            l_partkey AS element,
                            CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
-                    FROM lines GROUP BY 1, 2, 3))
-        WHERE slot <= 15""",
+                    FROM lines GROUP BY 1, 2, 3)))""",
     "actuals": """
         SELECT l_partkey AS player_code, CAST(year(o_orderdate) AS BIGINT) AS gw,
                count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS minutes,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8,
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters that don't have it installed.
+
+    Functions that run in Python workers are pickled by reference to their module. Once per
+    context; an installed copy is found first.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_panelspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="panelspark-package-"), "panelspark")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "panelspark"))
+    context._panelspark_shipped = True
+
+
 def use_checkpoint_dir(spark: SparkSession) -> str | None:
     """Point checkpoints at the shared folder the cluster names in spark.checkpoint.dir.
 

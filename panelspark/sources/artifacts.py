@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark import schemas as S
@@ -89,29 +89,36 @@ def result_documents(spark: SparkSession, path: str) -> DataFrame:
               f"ranking:{numbers}, calibration:{numbers}, "
               "gym:struct<runs:array<struct<totals:map<string,string>>>>>>")
     docs = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = docs.select(F.explode("results").alias("r")).select("r.*").withColumn(
-        "name", F.coalesce("name", F.lit("?")))
-    number = F.expr("try_cast(value AS double)")
-
-    cohorts = rows.select("name", F.explode("metrics").alias("m")).select(
-        "name", F.coalesce(F.col("m")["cohort"], F.lit("all")).alias("cohort"),
-        F.explode("m").alias("key", "value")).where(~F.col("key").isin("cohort", "n")).select(
-        "name", F.concat_ws("@", "key", "cohort").alias("metric"), number.alias("value"))
-    gym = rows.select("name", F.explode("gym.runs").alias("g")).select(
-        "name", F.explode("g.totals").alias("key", "value")).where(
-        F.col("key") != "settlement").select(
-        "name", F.concat(F.lit("gym@"), "key").alias("metric"), number.alias("value"))
-    out = cohorts.unionByName(gym)
-    for section, prefix in (("ranking", "rank@"), ("calibration", "cal@")):
-        out = out.unionByName(rows.select("name", F.explode(section).alias("key", "value"))
-                              .where(F.col("key") != "n")
-                              .select("name", F.concat(F.lit(prefix), "key").alias("metric"),
-                                      "value"))
-    return out.where(F.col("value").isNotNull())
+    result = docs.select(F.explode("results").alias("r")).select("r.*")
+
+    def named(entries: Column, name: Callable[[Column], Column], *skip: str) -> Column:
+        """(metric, value as text) of the entries of a map, but for the keys to skip."""
+        return F.transform(F.filter(F.map_entries(entries), lambda e: ~e["key"].isin(*skip)),
+                           lambda e: F.struct(name(e["key"]).alias("metric"),
+                                              e["value"].cast("string").alias("value")))
+
+    def prefixed(prefix: str) -> Callable[[Column], Column]:
+        return lambda key: F.concat(F.lit(prefix), key)
+
+    def in_cohort(m: Column) -> Column:
+        cohort = F.coalesce(m["cohort"], F.lit("all"))
+        return named(m, lambda key: F.concat_ws("@", key, cohort), "cohort", "n")
+
+    # The prefixes of the sections and the entries that are no metrics.
+    parts = [F.flatten(F.transform("metrics", in_cohort)),
+             F.flatten(F.transform("gym.runs", lambda g: named(
+                 g["totals"], prefixed("gym@"), "settlement"))),
+             named(F.col("ranking"), prefixed("rank@"), "n"),
+             named(F.col("calibration"), prefixed("cal@"), "n")]
+    every = F.concat(*[F.coalesce(p, F.array()) for p in parts])
+    return (result.select(F.coalesce("name", F.lit("?")).alias("name"),
+                          F.explode(every).alias("e"))
+            .select("name", "e.metric", F.expr("try_cast(e.value AS double)").alias("value"))
+            .where(F.col("value").isNotNull()))
 
 
 def compare_results(long: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
-    """One row per experiment, one column per metric (missing ones null)."""
+    """One row per experiment, one column per metric (missing ones null, of several the largest)."""
     pivot = long.groupBy("name").pivot("metric", list(metrics)) if metrics else \
         long.groupBy("name").pivot("metric")
-    return pivot.agg(F.last("value"))
+    return pivot.agg(F.max("value"))

@@ -2,13 +2,14 @@
 
 Two layouts share one output. The newer one has a folder per period,
 ``By Gameweek/GW{n}/{table}.csv``, next to per-season files; the older one has a folder
-per table. All files of a table are one scan; the period comes from the folder name.
+per table. Files of equal headers are one scan; the period comes from the folder name.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,28 +24,51 @@ ORDER = ("__folder_gw", "__file", "__block", "__row")
 TABLES = ("players", "teams", "gw_stats", "match_stats", "matches", "team_history")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
-    """All columns as text plus the place of each row; None without files or columns.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system its scheme names."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
-    A file may be read in several splits: rows are ordered by folder period, file, start
-    of the split, and position within it. Files whose header differs from the first one
-    stop the job instead of being read by position.
+
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their first line; one line for each file comes to the driver.
+
+    Files without bytes have no line and are left out.
     """
     try:
-        raw = (spark.read.option("header", True).option("enforceSchema", False)
-               .option("escape", '"').csv(path))
+        lines = spark.read.text(path)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return {}
         raise
-    if not raw.columns:
-        return None
+    first = (lines.where("_metadata.file_block_start = 0")
+             .select(F.col("_metadata.file_path").alias("file"), "value",
+                     F.monotonically_increasing_id().alias("row"))
+             .groupBy("file").agg(F.min_by("value", "row").alias("header")))
+    found: dict[str, list[str]] = {}
+    for row in sorted(first.collect()):
+        if row.header.strip():
+            found.setdefault(row.header, []).append(unquote(row.file))
+    return found
+
+
+def read_csv(spark: SparkSession, path: str) -> list[DataFrame]:
+    """All columns as text plus the place of each row; one frame for each different header.
+
+    A file may be read in several splits: rows are ordered by folder period, file, start
+    of the split, and position within it. Columns go by each file's own header.
+    """
     file = F.col("_metadata.file_path")
-    return raw.select(
-        "*", F.expr(r"try_cast(regexp_extract(_metadata.file_path, '/GW([0-9]+)/', 1) AS bigint)")
-        .alias("__folder_gw"),
-        file.alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__row"))
+    return [
+        spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
+        .csv(files).select(
+            "*", F.expr(
+                r"try_cast(regexp_extract(_metadata.file_path, '/GW([0-9]+)/', 1) AS bigint)")
+            .alias("__folder_gw"),
+            file.alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+            F.monotonically_increasing_id().alias("__row"))
+        for files in headers(spark, path).values()]
 
 
 def _typed(name: str, dtype: T.DataType) -> Column:
@@ -104,10 +128,12 @@ def team_history_from(raw: DataFrame) -> DataFrame:
     return _shape(raw, S.TEAM_HISTORY)
 
 
-def detect_layout(season_dir: str) -> str:
-    if os.path.isdir(os.path.join(season_dir, "By Gameweek")):
+def detect_layout(season_dir: str, spark: SparkSession | None = None) -> str:
+    """`modern` or `legacy`, by the folders there; the path may be of any file system."""
+    spark = spark or SparkSession.active()
+    if exists(spark, f"{season_dir}/By Gameweek"):
         return "modern"
-    if all(os.path.isdir(os.path.join(season_dir, d)) for d in ("players", "matches")):
+    if all(exists(spark, f"{season_dir}/{d}") for d in ("players", "matches")):
         return "legacy"
     raise ValueError(f"unknown season layout in {season_dir}")
 
@@ -131,6 +157,13 @@ LEGACY = {
 }
 
 
+# Contract schemas of the stored tables; the season is their partition.
+STORED = {"players": S.PLAYERS, "teams": S.TEAMS, "gw_stats": S.GW_STATS,
+          "match_stats": T.StructType([*S.MATCH_STATS.fields,
+                                       T.StructField("gw", T.LongType())]),
+          "matches": S.MATCHES, "team_history": S.TEAM_HISTORY}
+
+
 def _empty(spark: SparkSession, schema: T.StructType, season: str) -> DataFrame:
     return spark.createDataFrame([], schema).withColumn("season", F.lit(season))
 
@@ -141,21 +174,18 @@ def load_season(spark: SparkSession, root: str, season: str) -> dict[str, DataFr
     Statistics keep the row of the folder where a record first appeared; matches keep the
     last one, since a postponed match comes again with its final score.
     """
-    season_dir = os.path.join(root, season)
-    layout = MODERN if detect_layout(season_dir) == "modern" else LEGACY
-    schemas = {"players": S.PLAYERS, "teams": S.TEAMS, "gw_stats": S.GW_STATS,
-               "match_stats": T.StructType([*S.MATCH_STATS.fields,
-                                            T.StructField("gw", T.LongType())]),
-               "matches": S.MATCHES, "team_history": S.TEAM_HISTORY}
+    season_dir = f"{root}/{season}"
+    layout = MODERN if detect_layout(season_dir, spark) == "modern" else LEGACY
     out = {}
     for table, (pattern, reader) in layout.items():
-        raw = read_csv(spark, os.path.join(season_dir, pattern)) if pattern else None
-        if raw is None:
+        parts = read_csv(spark, f"{season_dir}/{pattern}") if pattern else []
+        if not parts:
             if table in ("players", "teams"):
-                raise FileNotFoundError(os.path.join(season_dir, str(pattern)))
-            out[table] = _empty(spark, schemas[table], season)
+                raise FileNotFoundError(f"{season_dir}/{pattern}")
+            out[table] = _empty(spark, STORED[table], season)
             continue
-        rows = reader(raw).withColumn("season", F.lit(season))
+        rows = reduce(DataFrame.unionByName, map(reader, parts)).withColumn(
+            "season", F.lit(season))
         if table in ("gw_stats", "match_stats", "matches"):
             rows = P.union_keep([rows], S.KEYS[table], ORDER,
                                 "last" if table == "matches" else "first")
@@ -163,22 +193,26 @@ def load_season(spark: SparkSession, root: str, season: str) -> dict[str, DataFr
     return out
 
 
-def write_tables(tables: Mapping[str, DataFrame], processed: str) -> None:
-    """One folder per table, a partition per season; a rerun replaces only its seasons."""
+def write_tables(tables: Mapping[str, DataFrame], processed: str, season: str) -> None:
+    """The season's partition of each table, replaced as a whole, also by no rows."""
     for name, df in tables.items():
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("season").parquet(os.path.join(processed, name)))
+        df.where(F.col("season") == season).drop("season").write.mode("overwrite").parquet(
+            f"{processed}/{name}/season={season}")
 
 
 def ingest(spark: SparkSession, root: str, seasons: Sequence[str], processed: str) -> None:
     for season in seasons:
-        write_tables(load_season(spark, root, season), processed)
+        write_tables(load_season(spark, root, season), processed, season)
 
 
 def read_table(spark: SparkSession, processed: str, table: str,
                seasons: Sequence[str] | None = None) -> DataFrame:
     """A processed table; a season filter reads only those partitions."""
-    df = spark.read.parquet(os.path.join(processed, table)).withColumn(
+    reader = spark.read
+    if table in STORED:
+        reader = reader.schema(T.StructType([*STORED[table].fields,
+                                             T.StructField("season", T.StringType())]))
+    df = reader.parquet(f"{processed}/{table}").withColumn(
         "season", F.col("season").cast("string"))
     return df if seasons is None else df.where(F.col("season").isin(list(seasons)))
 
@@ -191,7 +225,7 @@ def write_features(spark: SparkSession, processed: str, seasons: Sequence[str])
              ("gw_stats", "team_history", "matches", "players")}
         features = P.build_features(t["gw_stats"], t["team_history"], t["matches"],
                                     t["players"], carry).withColumn("season", F.lit(season))
-        write_tables({"features": features}, processed)
+        write_tables({"features": features}, processed, season)
         carry = P.carryover_seed(read_table(spark, processed, "features", [season]))
 
 

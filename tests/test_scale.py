@@ -1,4 +1,4 @@
-"""Order statistics: the split way for large groups equals brute force and the window way."""
+"""Order statistics against brute force; their plans."""
 
 from __future__ import annotations
 
@@ -22,11 +22,6 @@ def rows(seed: int, n: int = 600):
     return out
 
 
-@pytest.fixture(params=[1, 10**9], ids=["split", "window"])
-def min_rows(request):
-    return request.param
-
-
 def frame(spark, data):
     return spark.createDataFrame(data, "g string, id long, v double, w double")
 
@@ -38,10 +33,10 @@ def by_group(data):
     return groups
 
 
-def test_value_ranks(spark, min_rows):
+def test_value_ranks(spark):
     data = rows(1)
     got = {(r.g, r.v): (r.n_before, r.n_eq, r.n_total) for r in scale.value_ranks(
-        frame(spark, data), ["g"], "v", min_rows=min_rows).collect()}
+        frame(spark, data), ["g"], "v").collect()}
     for g, members in by_group(data).items():
         values = [r[2] for r in members]
         for v in set(values):
@@ -49,31 +44,52 @@ def test_value_ranks(spark, min_rows):
 
 
 def test_large_groups_are_cut(spark):
-    df = frame(spark, rows(2))
-    check = scale.size_check(df, ["g"], 1)
-    assert not check.small
-    cells = df.groupBy("g", "v").agg(F.count("*").alias("n_eq"))
-    cuts = scale._cut_points(cells, ["g"], "v", check.limit).collect()
-    assert {r["__g"] for r in cuts} == {"hot", "a", "b", "c"}
-    assert max(len(r["__cuts"]) for r in cuts) > 20
+    """No (group, range) window holds much more than its share of the cells."""
+    cells = frame(spark, rows(2, 4000)).withColumn("u", F.col("v") + F.col("id") / 1e6)
+    counts = scale._with_range(cells, "u").groupBy("g", "__range").count().collect()
+    assert len({r["__range"] for r in counts}) == scale._ranges(cells) == 16
+    assert max(r["count"] for r in counts if r.g == "hot") <= 1.3 * 4000 / 16
+
+
+def test_rows_without_a_value(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", None), ("x", 3.0), ("y", None)],
+                               "g string, v double")
+    got = {(r.g, r.v): (r.r_before, r.r_eq, r.r_total)
+           for r in scale.with_value_ranks(df, ["g"], "v", "r").collect()}
+    assert got == {("x", 1.0): (0, 1, 2), ("x", 3.0): (1, 1, 2), ("x", None): (None,) * 3,
+                   ("y", None): (None,) * 3}
 
 
-def test_null_group_and_global_group(spark, min_rows):
+def test_one_plan_without_one_task_windows(spark):
+    """The same plan on every call, no job while it is built, no window over an empty key."""
+    import re
+
+    df = frame(spark, rows(7))
+    plans = set()
+    for _ in range(3):
+        out = scale.exact_quantiles(scale.with_value_ranks(df, [], "v", "r"), [], "w", (0.5,))
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        plans.add(re.sub(r"\d+", "", text))
+        windows = re.findall(r"Window \[.*", text)
+        assert windows and all("__range" in w for w in windows)
+    assert len(plans) == 1
+
+
+def test_null_group_and_global_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("x", 1.0), (None, 2.0)],
                                "g string, v double")
     got = {(r.g, r.v): r.n_before for r in scale.value_ranks(
-        df, ["g"], "v", min_rows=min_rows).collect()}
+        df, ["g"], "v").collect()}
     assert got == {(None, 1.0): 0, (None, 2.0): 1, ("x", 1.0): 0}
     whole = {r.v: (r.n_before, r.n_eq) for r in scale.value_ranks(
-        df, [], "v", min_rows=min_rows).collect()}
+        df, [], "v").collect()}
     assert whole == {1.0: (0, 2), 2.0: (2, 2)}
 
 
-def test_row_ranks_and_positions(spark, min_rows):
+def test_row_ranks_and_positions(spark):
     data = rows(3)
-    ranked = scale.with_value_ranks(frame(spark, data), ["g"], "v", "r", min_rows=min_rows)
-    placed = scale.row_positions(ranked, ["g"], [("v", "desc"), ("id", "asc")], "pos",
-                                 min_rows=min_rows).collect()
+    ranked = scale.with_value_ranks(frame(spark, data), ["g"], "v", "r")
+    placed = scale.row_positions(ranked, ["g"], [("v", "desc"), ("id", "asc")], "pos").collect()
     assert len(placed) == len(data)
     for g, members in by_group(data).items():
         order = sorted(members, key=lambda r: (-r[2], r[1]))
@@ -86,22 +102,21 @@ def test_row_ranks_and_positions(spark, min_rows):
 
 
 @pytest.mark.parametrize("levels", [(0.0, 0.01, 0.25, 0.5, 0.9, 1.0)])
-def test_exact_quantiles(spark, min_rows, levels):
+def test_exact_quantiles(spark, levels):
     data = rows(4)
     got = {r.g: r.quantiles for r in scale.exact_quantiles(
-        frame(spark, data), ["g"], "v", levels, min_rows=min_rows).collect()}
+        frame(spark, data), ["g"], "v", levels).collect()}
     for g, members in by_group(data).items():
         want = np.quantile([r[2] for r in members], levels)
         np.testing.assert_allclose(got[g], want, atol=1e-12)
-    whole = scale.exact_quantiles(frame(spark, data), [], "v", levels,
-                                  min_rows=min_rows).first().quantiles
+    whole = scale.exact_quantiles(frame(spark, data), [], "v", levels).first().quantiles
     np.testing.assert_allclose(whole, np.quantile([r[2] for r in data], levels), atol=1e-12)
 
 
-def test_pairs_without_pairs(spark, min_rows):
+def test_pairs_without_pairs(spark):
     data = rows(5, 250)
     got = {r.g: (r.n, r.concordant) for r in scale.order_code_pairs(
-        frame(spark, data), ["g"], "v", "w", min_rows=min_rows).collect()}
+        frame(spark, data), ["g"], "v", "w").collect()}
     for g, members in by_group(data).items():
         agree = sum((a[2] - b[2]) * (a[3] - b[3]) > 0
                     for i, a in enumerate(members) for b in members[:i])
@@ -116,9 +131,3 @@ def test_keep_one_and_top_n(spark):
         assert [r.id for r in kept if r.g == g] == [best[1]]
     plan = scale.top_n(frame(spark, data), ["g"], [F.col("v")], 3)._jdf.queryExecution()
     assert "WindowGroupLimit" in plan.toString()      # limited before the shuffle
-
-
-def test_broadcast_only_when_counted_small(spark):
-    small = scale.broadcast_if_small(spark.range(5), 10)._jdf.queryExecution().toString()
-    large = scale.broadcast_if_small(spark.range(50), 10)._jdf.queryExecution().toString()
-    assert "broadcast" in small and "broadcast" not in large

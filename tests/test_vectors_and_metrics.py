@@ -94,12 +94,11 @@ def team_rows(seed, n=90):
             for t in range(n) for g in (1, 1, 1, 2) if rng.random() < 0.9 or g == 2]
 
 
-@pytest.mark.parametrize("min_rows", [1, None], ids=["split", "window"])
-def test_round_robin(spark, min_rows):
+def test_round_robin(spark):
     totals = {(t, g): x for t, g, x, _ in team_rows(1)}
     df = spark.createDataFrame([(t, g, x) for (t, g), x in totals.items()],
                                "team_id long, gw long, gw_total double")
-    for r in H.round_robin(df, min_rows=min_rows).collect():
+    for r in H.round_robin(df).collect():
         edges = [x - y for (t, g), x in totals.items() if t == r.team_id
                  for (o, h), y in totals.items() if h == g and o != t]
         assert (r.played, r.wins, r.losses, r.draws) == (
@@ -228,8 +227,7 @@ def average_ranks(v):
     return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
 
 
-@pytest.mark.parametrize("min_rows", [1, None], ids=["split", "window"])
-def test_ranking_metrics(spark, min_rows):
+def test_ranking_metrics(spark):
     rows, df = scored(spark)
     rhos, agree, hits, total = [], [], 0, 0
     for g in sorted({r[0] for r in rows}):
@@ -242,14 +240,13 @@ def test_ranking_metrics(spark, min_rows):
         k = max(1, math.ceil(n * 0.1))
         top = [{r[1] for r in sorted(part, key=lambda r: (-r[j], r[1]))[:k]} for j in (3, 4)]
         hits, total = hits + len(top[0] & top[1]), total + k
-    r = M.ranking_metrics(df, min_rows=min_rows).first()
+    r = M.ranking_metrics(df).first()
     assert r.spearman_rho == pytest.approx(np.mean(rhos))
     assert r.pairwise_concordance == pytest.approx(np.mean(agree))
     assert r.topk_hit_rate == pytest.approx(hits / total) and r.n == len(rows)
 
 
-@pytest.mark.parametrize("min_rows", [1, None], ids=["split", "window"])
-def test_calibration_metrics(spark, min_rows):
+def test_calibration_metrics(spark):
     rows, df = scored(spark, 5)
     a, p = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
     edges = np.quantile(p, np.linspace(0, 1, 11))
@@ -257,17 +254,16 @@ def test_calibration_metrics(spark, min_rows):
     want = sum(m.sum() * abs(p[m].mean() - a[m].mean()) for lo, hi in
                zip(edges[:-1], edges[1:], strict=True)
                if (m := (p >= lo) & (p < hi)).any()) / len(a)
-    r = M.calibration_metrics(df, min_rows=min_rows).first()
+    r = M.calibration_metrics(df).first()
     slope, intercept = np.polyfit(p, a, 1)
     assert r.ece == pytest.approx(want)
     assert (r.slope, r.intercept) == (pytest.approx(slope), pytest.approx(intercept))
     assert r.variance_ratio == pytest.approx(a.var() / p.var())
 
 
-@pytest.mark.parametrize("min_rows", [1, None], ids=["split", "window"])
-def test_cohorts(spark, min_rows):
+def test_cohorts(spark):
     rows, df = scored(spark, 6)
-    got = {r.cohort: r for r in M.cohort_metrics(df, min_rows=min_rows).collect()}
+    got = {r.cohort: r for r in M.cohort_metrics(df).collect()}
 
     def top(key):
         out = []
