@@ -18,7 +18,9 @@ from panelspark.llm import (
     token_files,
     url_filter,
 )
+from panelspark.llm.oracles import ORACLE_SQL  # noqa: F401
 from panelspark.llm.shared import stored
+from panelspark.session import ship_package
 
 WORDS = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +28,7 @@ PSEUDONYM_KEY = "key of the test tables"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,7 +89,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log score of every document under the counts of all others."""
-    return lm_score.scores(table(spark, sf_dir, "documents"))
+    return lm_score.scores(table(spark, sf_dir, "documents")).withColumns(
+        {c: F.round(c, 6) for c in ("log_score", "perplexity")})
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +101,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_pseudonyms, op3_near_vectors, op4_shards, op5_byte_bpe,
     op6_near_duplicates, op7_quality, op8_token_files, op9_lm_scores, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}
