@@ -30,9 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate class, the one with the smallest doc_id."""
     found = minhash.near_duplicates(docs)
     dropped = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).union(
-        rest.where("doc_id is null"))
+    # Dropped ids grow with the corpus: one join strategy at every size, whose dealing of the
+    # rows also serves the removal of repeated ones.
+    rest = docs.where("doc_id is not null").join(dropped.hint("merge"), "doc_id", "left_anti")
+    return rest.dropDuplicates(["doc_id"]).select(*docs.columns).union(
+        docs.where("doc_id is null"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,8 +203,9 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         F.min(F.xxhash64("id", "bucket")).alias("drawn")).where("members > 1")
     sketch = signed.select("id", "weight", *[f"s{i}" for i in range(K // 64)])
     multi = stored(in_band.join(shared, "bucket").join(sketch, "id"), "buckets")
-    one_each = docs.join(multi.select(F.col("id").alias("doc_id")).distinct(), "doc_id",
-                         "left_semi")
+    # The ids grow with the corpus: one join strategy at every size.
+    one_each = docs.join(multi.select(F.col("id").alias("doc_id")).distinct().hint("merge"),
+                         "doc_id", "left_semi")
     texts = stored(one_each.select(F.col("doc_id").cast("long").alias("id"), "text"), "texts")
 
     centre = multi.where(F.xxhash64("id", "bucket") == F.col("drawn"))
