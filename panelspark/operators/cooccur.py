@@ -205,7 +205,8 @@ def position_baselines(panel: DataFrame, players: DataFrame) -> DataFrame:
                  F.count("total_points").alias("played_gw")))
 
 
-def quartile_table(df: DataFrame, bucket_by: str, target: str, group: str = "position") -> DataFrame:
+def quartile_table(df: DataFrame, bucket_by: str, target: str,
+                   group: str = "position") -> DataFrame:
     """Mean target per group and quartile of another column."""
     cuts = scale.exact_quantiles(df, [], bucket_by, (0.25, 0.5, 0.75), "cuts").scalar()
     b = F.col(bucket_by)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import scalar as X
@@ -95,7 +95,8 @@ def reference_rankings(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     rows = df.where(F.col("actual").isNotNull())
     out = None
     for name, column in columns.items():
-        part = ranking_metrics(rows.withColumn("pred", F.coalesce(F.col(column), F.lit(0.0)))).select(F.lit(name).alias("name"), "*")
+        filled = rows.withColumn("pred", F.coalesce(F.col(column), F.lit(0.0)))
+        part = ranking_metrics(filled).select(F.lit(name).alias("name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -171,7 +172,8 @@ def top_fraction_by_average_rank(df: DataFrame, keys: Sequence[str], by: str, na
         "__r_before", "__r_eq", "__r_total")
 
 
-def residual_quantiles(fit: DataFrame, q: float, keys: Sequence[str] = ("position", "bucket")) -> tuple[DataFrame, DataFrame]:
+def residual_quantiles(fit: DataFrame, q: float, keys: Sequence[str] = ("position", "bucket")
+                       ) -> tuple[DataFrame, DataFrame]:
     """Quantile of actual - pred over all rows (one row) and per group."""
     rows = fit.withColumn("residual", F.col("actual") - F.col("pred"))
     get = lambda part: scale.exact_quantiles(rows, part, "residual", (q,), "v")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark import schemas as S
-from panelspark.operators import scale
 
 # Legal formations as (GKP, DEF, MID, FWD), in order of preference on a tie.
 FORMATIONS = ((1, 3, 5, 2), (1, 3, 4, 3), (1, 4, 5, 1), (1, 4, 4, 2), (1, 4, 3, 3),

@@ -8,7 +8,6 @@ from panelspark.functions import scalar as X
 from panelspark.operators import metrics as M
 from panelspark.operators import models as ML
 from panelspark.operators import panel as P
-from panelspark.operators import scale
 from panelspark.plans.pair_queries import phi_sql
 from panelspark.plans.registry import query, rounded
 from panelspark.plans.roles_sql import corr_sql, r6

@@ -10,9 +10,7 @@ from panelspark.functions import scalar as X
 from panelspark.operators import cooccur as CO
 from panelspark.operators import h2h as H
 from panelspark.operators import panel as P
-from panelspark.operators import scale
 from panelspark.operators import sketches as SK
-from panelspark.plans.bindings import money
 from panelspark.plans.registry import query, rounded, rounded_vector
 from panelspark.plans.roles_sql import corr_sql, r6
 
