@@ -5,6 +5,12 @@ that format: a Feistel network over two mixed-radix halves whose rounds add SHA-
 format, round and the other half. A pseudonym is thus a valid value of the same format, and
 equal values have equal pseudonyms in all documents. All of it is native expressions.
 
+A value is searched for in three steps, each over what the ones before did not take: e-mail
+addresses and IBANs; addresses, dates and telephone and security numbers; card numbers. What
+fails validation is text again for the next step. A card number is a whole number of digit
+groups: of a run of groups, the longest valid beginning is taken and the search goes on behind
+it, or one group further where none is valid. The country code fixes the length of an IBAN.
+
 Formats: e-mail addresses (the letters and digits of the local part), IPv4 addresses, payment
 card numbers of 13 to 19 digits with a right check digit (which is worked out anew), telephone
 numbers with a ten-digit national part, US social security numbers, IBANs with right check
@@ -27,17 +33,45 @@ from panelspark.llm.shared import free_name
 ROUNDS = 10
 EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@"
          r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}")
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """The form of an IBAN: of its country's length, or of any for a country without one."""
+    def groups(size: int) -> str:
+        full, rest = divmod(size - 4, 4)
+        return f"(?: ?[A-Z0-9]{{4}}){{{full}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    known = [f"(?:{'|'.join(c.split())})\\d{{2}}{groups(n)}" for n, c in IBAN_LENGTHS.items()]
+    codes = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    other = rf"(?!{codes})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
 IPV4 = r"(?<![0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![0-9]|\.[0-9])"
 DATE = (r"(?<![0-9/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
         r"(?![0-9]|[/.-][0-9])")
 SSN = r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9]|-[0-9])"
 PHONE = (r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}"
          r"(?![0-9])")
-CARD = r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
-# Every format has an @ or two digits next to each other or one digit before a dot.
-HINT = r"@|[0-9][0-9.]"
+# Digit groups that may hold card numbers, and one of them with what separates it from the next.
+RUN = r"(?<![0-9A-Za-z])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z])"
+GROUP = r"[0-9]+[ -]*"
+# Stand for the values taken in the first and the second step; such characters of the text
+# itself are taken like values.
+MARKS = ("\ue000", "\ue001")
+STEPS = ("|".join((f"[{''.join(MARKS)}]", EMAIL, IBAN)), "|".join((IPV4, DATE, SSN, PHONE)))
+# Every format has an @ or two digits next to each other, or one digit before a dot or before a
+# space or hyphen and a digit.
+HINT = r"@|[0-9][0-9.]|[0-9][ -][0-9]"
 DAYS = 271  # 271 * 271 days from 1900-01-01
 
 
@@ -104,13 +138,67 @@ def check_digit(payload: Column) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
-    def new(d: Column) -> Column:
-        payload = F.substr(d, F.lit(1), F.length(d) - 1)
-        right = check_digit(payload) == F.substr(d, F.length(d), F.lit(1))
-        return F.when(right, bound(permuted_digits(payload, "card", key), lambda p: filled(
-            m, F.concat(p, check_digit(p))))).otherwise(m)
+    """The pseudonym of a number with a right check digit."""
+    payload = bound(digits(m), lambda d: F.substr(d, F.lit(1), F.length(d) - 1))
+    return bound(bound(payload, lambda p: permuted_digits(p, "card", key)),
+                 lambda p: filled(m, F.concat(p, check_digit(p))))
+
+
+def card_prefix(groups: Column) -> Column:
+    """struct(n, text): the most first groups that make a valid card number, n = 0 for none."""
+    def valid(d: Column) -> Column:
+        return F.when(F.length(d).between(13, 19), check_digit(F.substr(
+            d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1))).otherwise(False)
+
+    def step(s: Column, group: Column) -> Column:
+        number = F.concat(s["number"], digits(group))
+        n = s["read"] + 1
+        taken = F.when(s["open"] & valid(digits(number)), F.struct(
+            n.alias("n"), number.alias("text"))).otherwise(s["taken"])
+        return F.struct(
+            (s["open"] & (F.length(group) == F.length(digits(group)) + 1)).alias("open"), n.alias(
+                "read"), F.concat(s["number"], group).alias("number"), taken.alias("taken"))
+
+    none = F.struct(F.lit(0).alias("n"), F.lit("").alias("text"))
+    start = F.struct(F.lit(True).alias("open"), F.lit(0).alias("read"),
+                     F.lit("").alias("number"), none.alias("taken"))
+    return F.aggregate(groups, start, step, lambda s: s["taken"])
 
-    return bound(digits(m), new)
+
+def cards(run: Column, key: str) -> Column:
+    """struct(n, text): card numbers found in a run of digit groups, and the run with theirs."""
+    def whole(groups: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            return F.when(i < s["next"], s).otherwise(bound(
+                card_prefix(F.slice(groups, i + 1, 19)), lambda p: F.when(p["n"] > 0, F.struct(
+                    (i + p["n"]).alias("next"), F.concat(s["hits"], F.array(F.struct(
+                        i.alias("i"), p["n"].alias("n"), p["text"].alias("text")))).alias("hits")))
+                .otherwise(s)))
+
+        empty = F.array().cast("array<struct<i:int,n:int,text:string>>")
+        hits = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(
+            F.lit(0).alias("next"), empty.alias("hits")), step, lambda s: s["hits"])
+
+        def text(hits: Column) -> Column:
+            def end(k: Column) -> Column:
+                return bound(F.get(hits, k), lambda h: F.coalesce(h["i"] + h["n"], F.lit(0)))
+
+            def between(start: Column, stop: Column) -> Column:
+                return F.array_join(F.slice(groups, start + 1, stop - start), "")
+
+            def piece(h: Column, k: Column) -> Column:
+                last = F.get(groups, h["i"] + h["n"] - 1)
+                return F.concat(between(end(k - 1), h["i"]), card(h["text"], key),
+                                F.regexp_extract(last, "[^0-9]*$", 0))
+
+            return F.struct(F.size(hits).alias("n"), F.concat(
+                F.array_join(F.transform(hits, piece), ""),
+                between(end(F.size(hits) - 1), F.size(groups))).alias("text"))
+
+        return F.when(F.size(hits) > 0, bound(hits, text)).otherwise(F.struct(
+            F.lit(0).alias("n"), run.alias("text")))
+
+    return bound(F.regexp_extract_all(run, F.lit(GROUP), F.lit(0)), whole)
 
 
 def phone(m: Column, key: str) -> Column:
@@ -145,7 +233,7 @@ def ssn(m: Column, key: str) -> Column:
                            F.lpad(F.floor(s["r"] / 9999 + 1).cast("string"), 2, "0"),
                            F.lpad((s["r"] % 9999 + 1).cast("string"), 4, "0"))
 
-    return F.when(valid, bound(place, text)).otherwise(m)
+    return F.when(valid, bound(place, text))
 
 
 def ipv4(m: Column, key: str) -> Column:
@@ -153,10 +241,10 @@ def ipv4(m: Column, key: str) -> Column:
         part = [F.get(o, F.lit(i)).cast("int") for i in range(4)]
         place = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], F.lit(65536),
                         F.lit(65536), F.lit("ipv4"), key)
-        return F.when(F.exists(o, lambda x: (x.cast("int") > 255) | x.rlike("^0[0-9]")), m).otherwise(
-            bound(place, lambda s: F.concat_ws(
-                ".", F.floor(s["l"] / 256).cast("string"), (s["l"] % 256).cast("string"),
-                F.floor(s["r"] / 256).cast("string"), (s["r"] % 256).cast("string"))))
+        wrong = F.exists(o, lambda x: (x.cast("int") > 255) | x.rlike("^0[0-9]"))
+        return F.when(~wrong, bound(place, lambda s: F.concat_ws(
+            ".", F.floor(s["l"] / 256).cast("string"), (s["l"] % 256).cast("string"),
+            F.floor(s["r"] / 256).cast("string"), (s["r"] % 256).cast("string"))))
 
     return bound(F.split(m, r"\."), new)
 
@@ -167,7 +255,7 @@ def date(m: Column, pattern: str, key: str) -> Column:
                         F.lit("date"), key)
         return F.when(day.between(0, DAYS * DAYS - 1), bound(place, lambda s: F.date_format(
             F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * DAYS + s["r"]).cast("int")),
-            pattern))).otherwise(m)
+            pattern)))
 
     return bound(F.datediff(F.try_to_date(m, pattern), F.lit("1900-01-01").cast("date")), new)
 
@@ -191,7 +279,7 @@ def iban(m: Column, key: str) -> Column:
             return filled(m, F.concat(check, digits(body)))
 
         fresh = filled(own, permuted_digits(digits(own), "iban", key))
-        return F.when(ok, bound(fresh, whole)).otherwise(m)
+        return F.when(ok, bound(fresh, whole))
 
     return bound(F.replace(m, F.lit(" ")), new)
 
@@ -248,29 +336,54 @@ def email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one found value, or the value where it isn't valid."""
-    return (F.when(F.contains(m, F.lit("@")), email(m, key))
+    """The pseudonym of a value found in the first two steps, or null where it isn't valid."""
+    return (F.when(m.isin(*MARKS), m)
+            .when(F.contains(m, F.lit("@")), email(m, key))
             .when(m.rlike("^[A-Z]"), iban(m, key))
             .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ipv4(m, key))
             .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), date(m, "yyyy-MM-dd", key))
             .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), date(m, "MM/dd/yyyy", key))
             .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), date(m, "dd.MM.yyyy", key))
             .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(m, key))
-            .when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[ .-]\d{4}$"), phone(m, key))
-            .otherwise(card(m, key)))
+            .otherwise(phone(m, key)))
+
+
+def filled_gaps(text: Column, pattern: str, values: Column) -> Column:
+    """`text` with `values` in turn for what `pattern` matches."""
+    return F.when(F.size(values) > 0, F.array_join(F.flatten(F.zip_with(
+        F.split(text, pattern), values, lambda gap, v: F.array(gap, v))), "")).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text",
                   found: str | None = None) -> DataFrame:
     """`docs` with the personal values of `text` replaced; `found` names a column for their number."""
-    hit = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
-    name = free_name(docs, "pii_found")
-    rows = docs.select("*", F.explode(F.array(hit)).alias(name))
-    many = F.coalesce(F.size(name), F.lit(0))
-    gaps = F.split(F.col(text), ANY)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, name, lambda g, m: F.array(
-        g, F.coalesce(pseudonym(m, key), F.lit(""))))), "")
-    rows = rows.withColumn(text, F.when(many > 0, joined).otherwise(F.col(text)))
+    rows, names = docs, []
+
+    def keep(value: Column) -> Column:
+        """A new column of `rows`, worked out once."""
+        nonlocal rows
+        names.append(free_name(rows, f"pii_{len(names)}"))
+        rows = rows.select("*", F.explode(F.array(value)).alias(names[-1]))
+        return F.col(names[-1])
+
+    def matches(rest: Column, pattern: str) -> Column:
+        return F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
+
+    rest, taken = keep(F.when(F.col(text).rlike(HINT), F.col(text))), []
+    for pattern, mark in zip(STEPS, MARKS, strict=True):
+        hits = keep(F.transform(matches(rest, pattern), lambda m: F.struct(
+            m.alias("old"), pseudonym(m, key).alias("new"))))
+        taken.append(keep(F.filter(F.transform(hits, lambda h: h["new"]),
+                                   lambda n: n.isNotNull())))
+        rest = keep(filled_gaps(rest, pattern, F.transform(
+            hits, lambda h: F.when(h["new"].isNull(), h["old"]).otherwise(mark))))  # noqa: B023
+    runs = keep(F.transform(matches(rest, RUN), lambda run: cards(run, key)))
+    out = filled_gaps(rest, RUN, F.transform(runs, lambda r: r["text"]))
+    for mark, news in reversed(list(zip(MARKS, taken, strict=True))):
+        out = filled_gaps(out, mark, news)
+    many = F.size(F.filter(taken[0], lambda n: ~n.isin(*MARKS))) + F.size(taken[1]) + F.aggregate(
+        runs, F.lit(0), lambda a, r: a + r["n"])
+    rows = rows.withColumn(text, F.coalesce(out, F.col(text)))
     if found:
-        rows = rows.withColumn(found, F.greatest(many, F.lit(0)))
+        rows = rows.withColumn(found, F.when(rest.isNull(), 0).otherwise(many))
     return rows.select(*docs.columns, *[found] * bool(found))

@@ -106,6 +106,35 @@ def test_pseudonyms_keep_the_format(spark):
     assert pii.pseudonymised(left.limit(0), "k").count() == 0
 
 
+# Text, values in it, what has to stay as it is.
+RUNS = [
+    ("4111111111111111 123", ["4111111111111111"], " 123"),
+    ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"], " 12/27"),
+    ("4111111111111111 555-123-4567", ["4111111111111111", "555-123-4567"], ""),
+    ("no 12 4111111111111111", ["4111111111111111"], "no 12 "),
+    ("4111111111111111 4111111111111111 7", ["4111111111111111"], " 7"),
+    ("1234 555-123-4567", ["555-123-4567"], "1234 "),
+    ("BE68539007547034 EUR", ["BE68539007547034"], " EUR"),
+    ("BE68 5390 0754 7034 PAID", ["BE68 5390 0754 7034"], " PAID"),
+    ("XX12 4111 1111 1111 1111", ["4111 1111 1111 1111"], "XX12 "),
+    ("IT12 3456 7890 1234 5678 9012 555-123-4567", ["555-123-4567"], "IT12 3456 "),
+    ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"], ""),
+    ("4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", ["4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"], ""),
+    ("\ue000 4111111111111111 \ue001 anna.berg@x.org", ["4111111111111111", "anna.berg@x.org"], "\ue001"),
+]
+
+
+def test_valid_numbers_beside_others_are_replaced(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(RUNS)],
+                                 "doc_id int, text string")
+    for r in pii.pseudonymised(docs, "k", found="n").collect():
+        text, values, stays = RUNS[r.doc_id]
+        shape = [re.sub(r"\d", "9", x) for x in (text, r.text)]
+        assert not any(v in r.text for v in values) and stays in r.text, (text, r.text)
+        assert "@" in text or shape[0] == shape[1], (text, r.text)
+        assert r.n == sum(text.count(v) for v in values), (text, r.n)
+
+
 def test_pseudonyms_are_permutations(spark):
     """All 20 * 10 * 26 values of a small format have different pseudonyms, the same anywhere."""
     rows = [(f"{a}{b}{c}@x.org",) for a in "abcdefghij" for b in range(10) for c in "klmnopqrst"]
