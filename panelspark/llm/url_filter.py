@@ -8,8 +8,9 @@ suffix is the last two labels of the host; its statistics are the labelled URLs
 their block rate, shrunk towards the rate of all by SUFFIX_PRIOR URLs. The other features hold no
 names, so the trees learn form and not the list.
 
-Training takes at most TRAIN_ROWS labelled URLs, those of the smallest hashes of (seed, url):
-a bounded, repeatable sample. Everything else runs over all rows with native expressions.
+The trees are fit on at most TRAIN_ROWS distinct labelled URLs, those of the smallest hashes of
+(seed, url), each weighted by its rows: a bounded, repeatable sample that no repeated URL fills.
+Everything else, the suffix statistics too, runs over all rows with native expressions.
 
 Defined cases: a null URL or one without `://` has empty host and path and is judged by the
 trees; if the labelled URLs hold one class or none, every other URL gets the class that is
@@ -105,7 +106,7 @@ def with_features(rows: DataFrame, suffixes: Suffixes) -> DataFrame:
         "secure": F.startswith(url, F.lit("https")).cast("int"),
     }
     known = rows.withColumns({f"f_{k}": v.cast("double") for k, v in values.items()})
-    return known.join(F.broadcast(suffixes.rates), F.substring_index("host", ".", -2) == F.col("f_suffix"),
+    return known.join(suffixes.rates, F.substring_index("host", ".", -2) == F.col("f_suffix"),
                       "left").withColumns({
         "f_suffix_count": F.log1p(F.coalesce("f_labelled", F.lit(0.0))),
         "f_suffix_rate": F.coalesce("f_rate", F.lit(suffixes.prior))}).drop(
@@ -114,7 +115,7 @@ def with_features(rows: DataFrame, suffixes: Suffixes) -> DataFrame:
 
 @dataclass(frozen=True)
 class Suffixes:
-    """Block rates of host suffixes among the training rows, at most one row for each."""
+    """Block rates of host suffixes among all labelled rows, one row for each."""
 
     rates: DataFrame
     prior: float
@@ -148,24 +149,29 @@ def train(labelled: DataFrame, most: int = TRAIN_ROWS, rounds: int = 20, depth:
           seed: int = 7) -> UrlModel:
     """The model of rows(url, host, path, verdict).
 
-    The `most` rows of smallest hash are taken, a bounded sample of the labelled rows; it and
-    the suffix rates from it are stored.
+    Suffix counts and rates come from all rows; the trees from the `most` distinct URLs of
+    smallest hash, weighted by their rows. Both are stored.
     """
-    sample = stored(labelled.withColumn("f_hash", F.xxhash64(F.lit(seed), "url"))
-                    .orderBy("f_hash", "url").limit(most)
-                    .select("url", "host", "path",
-                            (F.col("verdict") == "block").cast("double").alias("label")), "urls")
-    total = sample.agg(F.count(F.lit(1)), F.avg("label")).first()
-    prior = total[1] or 0.0
-    rates = stored(sample.groupBy(F.substring_index("host", ".", -2).alias("f_suffix")).agg(
+    rows = labelled.withColumn("label", (F.col("verdict") == "block").cast("double"))
+    counts = stored(rows.groupBy(F.substring_index("host", ".", -2).alias("f_suffix")).agg(
         F.count(F.lit(1)).cast("double").alias("f_labelled"),
-        ((F.sum("label") + SUFFIX_PRIOR * prior) / (F.count(F.lit(1)) + SUFFIX_PRIOR))
-        .alias("f_rate")), "url-suffixes")
+        F.sum("label").alias("f_blocked")), "url-suffixes")
+    total = counts.agg(F.sum("f_labelled").alias("n"), F.sum("f_blocked").alias("blocked")).first()
+    prior = total["blocked"] / total["n"] if total["n"] else 0.0
+    rates = counts.select("f_suffix", "f_labelled", (
+        (F.col("f_blocked") + SUFFIX_PRIOR * prior) / (F.col("f_labelled") + SUFFIX_PRIOR))
+        .alias("f_rate"))
     suffixes = Suffixes(rates, prior)
     if prior in (0.0, 1.0):
         return UrlModel(suffixes, None, "block" if prior else "allow")
-    data = assembler().transform(with_features(sample, suffixes)).select("features", "label")
-    return UrlModel(suffixes, GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(data))
+    sample = stored(rows.groupBy("url", "host", "path", "label").agg(
+        F.count(F.lit(1)).cast("double").alias("weight"))
+        .withColumn("f_hash", F.xxhash64(F.lit(seed), "url"))
+        .orderBy("f_hash", "url").limit(most).drop("f_hash"), "urls")
+    data = assembler().transform(with_features(sample, suffixes)).select(
+        "features", "label", "weight")
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, weightCol="weight")
+    return UrlModel(suffixes, trees.fit(data))
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES,

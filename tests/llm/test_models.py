@@ -201,3 +201,19 @@ def test_trees_on_held_out_urls(spark):
     sizes = [r["count"] for r in rows.where("page_id % 2 = 1").groupBy("verdict").count().collect()]
     # Most labels follow the language in the path, which the features don't hold.
     assert right >= 0.97 * max(sizes) and right > 0.55 * sum(sizes)
+
+
+def test_suffixes_count_all_labelled_urls_and_no_url_fills_the_sample(spark):
+    rows = [(f"http://h{i}.s{i % 40}.org/p{i}", f"h{i}.s{i % 40}.org", f"/p{i}",
+             "block" if i % 3 else "allow") for i in range(400)]
+    rows += [("http://hot.hot.org/a", "hot.hot.org", "/a", "block")] * 600
+    labelled = spark.createDataFrame(rows, "url string, host string, path string, verdict string")
+    for seed in range(4):  # with some, the hot URL is in the sample
+        model = url_filter.train(labelled, most=50, rounds=1, depth=1, seed=seed)
+        assert model.trees is not None
+        got = {r.f_suffix: (r.f_labelled, r.f_rate) for r in model.suffixes.rates.collect()}
+        prior = sum(r[3] == "block" for r in rows) / len(rows)
+        for suffix in {".".join(r[1].split(".")[-2:]) for r in rows}:
+            of = [r[3] == "block" for r in rows if r[1].endswith("." + suffix)]
+            assert got[suffix] == pytest.approx(
+                (len(of), (sum(of) + 20 * prior) / (len(of) + 20)))
