@@ -93,6 +93,12 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         {c: F.round(c, 6) for c in ("log_score", "perplexity")})
 
 
+def op9_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under counts of up to three words; the SQL of `op9_lm_scores` is of order 2."""
+    return lm_score.scores(table(spark, sf_dir, "documents"), 3).withColumns(
+        {c: F.round(c, 6) for c in ("log_score", "perplexity")})
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL: the rules, else the trees trained on what the rules decide."""
     return url_filter.judged(table(spark, sf_dir, "pages"))
@@ -100,4 +106,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_pseudonyms, op3_near_vectors, op4_shards, op5_byte_bpe,
-    op6_near_duplicates, op7_quality, op8_token_files, op9_lm_scores, op10_url_filter)}
+    op6_near_duplicates, op7_quality, op8_token_files, op9_lm_scores,
+    op9_lm_scores_order3, op10_url_filter)}

@@ -127,6 +127,11 @@ def test_lm_query(spark, sf):
     check_scores(queries.op9_lm_scores(spark, sf).collect(), docs, lm_score.ORDER)
 
 
+def test_lm_query_of_three_words(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    check_scores(queries.op9_lm_scores_order3(spark, sf).collect(), docs, 3)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm_orders_and_odd_texts(spark, odd_docs, no_docs, order, monkeypatch):
     monkeypatch.setattr(lm_score, "PART_WORDS", 200)
