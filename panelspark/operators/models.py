@@ -77,19 +77,26 @@ def fit_sigma(held_out: DataFrame, features: Sequence[str] = FEATURES, **params)
     return fit(rows.drop("pred"), "trees", features, "abs_residual", **params)
 
 
-def fit_by_position(train: DataFrame, positions: Sequence[str],
+def fit_by_position(train: DataFrame, positions: Sequence[str] | None = None,
                     features: Sequence[str] = FEATURES, **params) -> dict[str, PipelineModel]:
+    """A tree model for each of `positions`, or for each that has labelled rows."""
+    if positions is None:
+        labelled = train.where(F.col("position").isNotNull() & F.col("next_points").isNotNull())
+        positions = sorted(r[0] for r in labelled.select("position").distinct().collect())
     return {p: fit(train.where(F.col("position") == p), "trees", features, **params)
             for p in positions}
 
 
 def predict_by_position(models: Mapping[str, PipelineModel], df: DataFrame,
                         features: Sequence[str] = FEATURES,
-                        name: str = "pred_position") -> DataFrame:
-    out = None
+                        name: str = "pred_position", other: str | None = None) -> DataFrame:
+    """All rows; those of a position without a model have the value of `other`, or null."""
+    known = F.coalesce(F.col("position").isin(*models), F.lit(False))
+    rest = _fill(prepared(df.where(~known), features), features, "trees")
+    out = rest.withColumn(name, F.col(other) if other else F.lit(None).cast("double"))
     for position, model in models.items():
-        part = predict(model, df.where(F.col("position") == position), features, name=name)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(
+            predict(model, df.where(F.col("position") == position), features, name=name))
     return out
 
 

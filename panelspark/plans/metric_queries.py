@@ -306,7 +306,7 @@ def _ml_rows(r):
 def gbt_forecast(r):
     """Trees on the first half of the month, level metrics on the second, in cohorts."""
     rows = _ml_rows(r)
-    model = ML.fit(rows.where(F.col("gw") <= 15), rounds=5, depth=3)
+    model = ML.fit(rows.where(F.col("gw") <= 15))
     scored = ML.predict(model, rows.where(F.col("gw") > 15)).withColumn(
         "actual", F.col("next_points").cast("double"))
     return M.cohort_metrics(scored.select("player_code", "gw", "position", "actual", "pred"))
@@ -327,10 +327,11 @@ def sigma_and_positions(r):
     rows = _ml_rows(r)
     fit, held, test = (rows.where(F.col("gw") <= 10), rows.where(F.col("gw").between(11, 18)),
                        rows.where(F.col("gw") > 18))
-    point = ML.fit(fit, rounds=3, depth=3)
-    sigma = ML.fit_sigma(ML.predict(point, held), rounds=3, depth=3)
-    parts = ML.fit_by_position(fit, ("DEF", "MID"), rounds=3, depth=3)
-    blend = ML.predict_by_position(parts, ML.predict(point, test, name="pred_global"))
+    point = ML.fit(fit)
+    sigma = ML.fit_sigma(ML.predict(point, held))
+    parts = ML.fit_by_position(fit)
+    blend = ML.predict_by_position(parts, ML.predict(point, test, name="pred_global"),
+                                   other="pred_global")
     out = ML.predict(sigma, blend, name="sigma")
     return out.groupBy("position").agg(
         F.count(F.lit(1)).alias("n"), F.avg("sigma").alias("mean_sigma"),

@@ -332,3 +332,32 @@ def test_mixed_headers_and_empty_files(spark, tmp_path):
     T.write_tables({"matches": tables["matches"].limit(0)}, out, "2025")
     assert T.read_table(spark, out, "matches").count() == 0    # an emptied rerun leaves nothing
     assert T.read_table(spark, out, "players", ["2025"]).count() > 0
+
+
+def test_position_query_has_all_positions_and_whole_models(spark, monkeypatch):
+    from panelspark.plans import all_queries, metric_queries
+    from panelspark.plans.bindings import Roles
+
+    trees, asked = ML.tree_pipeline, []
+
+    def short(features, label, **params):
+        asked.append(params)
+        return trees(features, label, rounds=1, depth=1)
+
+    monkeypatch.setitem(ML.REGISTRY, "trees", short)
+    sf = "/root/testdata/sf0.001"
+    rows = metric_queries._ml_rows(Roles(spark, sf)).where("gw > 18")
+    want = {r["position"]: r["count"] for r in rows.groupBy("position").count().collect()}
+    got = all_queries()["sigma_and_positions"](spark, sf).collect()
+    assert {r.position: r.n for r in got} == want and len(want) > 2
+    all_queries()["gbt_forecast"](spark, sf)
+    assert asked and not any(asked)  # the operator's own rounds and depth
+
+
+def test_rows_of_a_position_without_a_model_stay(spark):
+    rows = spark.createDataFrame([(p, float(i), 2.0 * i, 7.0) for i in range(8) for p in (
+        "DEF", "GKP", None)], "position string, x double, next_points double, pred_global double")
+    models = ML.fit_by_position(rows.where("position = 'DEF'"), features=["x"], rounds=1, depth=1)
+    out = ML.predict_by_position(models, rows, ["x"], other="pred_global")
+    assert list(models) == ["DEF"] and out.count() == rows.count()
+    assert out.where("position is null or position = 'GKP'").where("pred_position <> 7").count() == 0
