@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.llm import lm_score, minhash, quality
+from panelspark.llm import filter_audit, lm_score, merkle, minhash, quality
 
 WORDS_OF = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -106,5 +106,104 @@ LM_SCORES = f"""
     SELECT doc_id, len(ws) AS n_words, round(m, 6) AS log_score, round(exp(-m), 6) AS perplexity
     FROM w LEFT JOIN (SELECT doc_id, avg(s) AS m FROM s GROUP BY 1) USING (doc_id)"""
 
-ORACLE_SQL = {"op3_near_vectors": NEAR_VECTORS, "op6_near_duplicates": NEAR_DUPLICATES,
+
+# CRC 32 of a short ASCII text: bytes folded one by one, eight shifts each.
+CRC32 = """(xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0],
+                             lambda a, b: xor(a >> 1, 3988292384 * (a & 1))))))"""
+
+
+def _merkle(levels: int = 10) -> str:
+    def leaf(text: str) -> str:
+        fields = [text if f == "text" else f for f in merkle.FIELDS]
+        return "sha256(" + " || ".join(
+            f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}::VARCHAR, '-')"
+            for f in fields) + ")"
+
+    def climb(start: str, key: str, name: str) -> str:
+        """Levels {name}0.. of the nodes of `start`(tree, place, h), with siblings {name}s0.. ."""
+        out = [f"{name}0 AS (SELECT tree, place, h, count(*) OVER (PARTITION BY tree) AS c"
+               f" FROM {start})"]
+        for k in range(levels):
+            out.append(f"""{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM (
+                SELECT tree, place // 8 AS place, CASE WHEN any_value(c) = 1 THEN any_value(h)
+                       ELSE sha256(string_agg(h, '' ORDER BY place)) END AS h
+                FROM {name}{k} GROUP BY tree, place // 8))""")
+            out.append(f"""{name}s{k} AS (SELECT a.tree, a.place, any_value(a.c) AS c,
+                coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS u,
+                coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS v
+                FROM {name}{k} a LEFT JOIN {name}{k} b ON a.tree = b.tree AND a.place <> b.place
+                     AND a.place // 8 = b.place // 8 GROUP BY a.tree, a.place)""")
+        return ", ".join(out)
+
+    def walk(start: str, name: str, to: str) -> str:
+        """Fold x and gather the proof of the rows of `start` along the levels of `name`."""
+        out, last = [], start
+        for k in range(levels):
+            out.append(f"""{to}{k} AS (SELECT r.* REPLACE (
+                CASE WHEN c > 1 THEN sha256(u || x || v) ELSE x END AS x,
+                proof || u || v AS proof) FROM {last} r
+                JOIN {name}s{k} s ON s.tree = r.tree AND s.place = r.place // {8 ** k})""")
+            last = f"{to}{k}"
+        return ", ".join(out)
+
+    lowered = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    return f"""
+    WITH l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf,
+                      CASE WHEN {CRC32.format('doc_id::VARCHAR')} % 3 = 0
+                           THEN {leaf(lowered)} ELSE {leaf('text')} END AS x FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1
+                    AS place FROM l),
+    start AS (SELECT tree, place, leaf AS h FROM p), {climb('start', 'tree', 'n')},
+    tops AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS place
+             FROM n{levels}), {climb('tops', 'name', 't')},
+    r0 AS (SELECT doc_id, leaf, tree, place, x, '' AS proof FROM p), {walk('r0', 'n', 'w')},
+    r1 AS (SELECT doc_id, leaf, tops.h AS subroot, '' AS tree, tops.place AS place, x, proof
+           FROM w{levels - 1} w JOIN tops ON tops.name = w.tree), {walk('r1', 't', 'z')}
+    SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, x AS folded_root,
+           x = t.h AS verified
+    FROM z{levels - 1}, t{levels} t"""
+
+
+MERKLE = _merkle()
+
+AUDIT = f"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                      {WORDS_OF} AS ws FROM documents),
+    first AS (SELECT text, min(doc_id) AS id FROM w GROUP BY 1),
+    flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+              FROM labels GROUP BY 1),
+    m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 len(ws) < {filter_audit.MIN_WORDS} AS a,
+                 100 * len(list_distinct(ws)) < {filter_audit.MIN_DISTINCT} * len(ws) AS b,
+                 100 * length(regexp_replace(text, '[^A-Z]', '', 'g'))
+                     > {filter_audit.MAX_UPPER} * length(text) AS c,
+                 regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > first.id, false) AS e
+          FROM w JOIN first USING (text) LEFT JOIN flags USING (doc_id)),
+    k AS (SELECT part, good, toxic, [a, b, c, d, e] AS fails, count(*) AS n
+          FROM m GROUP BY ALL),
+    f AS (SELECT unnest(range(1, 6)) AS i),
+    orders AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS o FROM f p, f q, f r, f s, f t
+               WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+    steps AS (SELECT o, list_reduce(list_transform(o, lambda x: substr('ABCDE', x, 1)),
+                                    lambda x, y: x || y) AS filter_order,
+                     unnest(range(1, 6)) AS step FROM orders),
+    x AS (SELECT part, filter_order, step, o[step] AS filter, n, good, toxic, fails[o[step]] AS failing,
+                 list_contains(list_transform(o[:step - 1], lambda i: fails[i]), true) AS gone,
+                 len(list_filter(fails, lambda i: i)) = 1 AS single
+          FROM steps, k),
+    y AS (SELECT part, filter_order, step, filter,
+                 coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (failing AND single), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(n) FILTER (NOT gone AND failing AND good), 0)::BIGINT AS good_lost,
+                 coalesce(sum(n) FILTER (NOT gone AND failing AND toxic), 0)::BIGINT AS toxic_lost
+          FROM x GROUP BY ALL)
+    SELECT * EXCLUDE (filter), sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley
+    FROM y"""
+
+ORACLE_SQL = {"op12_merkle_manifest": MERKLE, "op13_filter_audit": AUDIT,
+              "op3_near_vectors": NEAR_VECTORS, "op6_near_duplicates": NEAR_DUPLICATES,
               "op7_quality": QUALITY, "op9_lm_scores": LM_SCORES}

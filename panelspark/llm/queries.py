@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from panelspark.llm import (
     byte_bpe,
     embeddings,
+    filter_audit,
     lm_score,
+    merkle,
     minhash,
     packing,
     pii,
@@ -104,7 +106,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; proofs of a third are folded on changed texts."""
+    return merkle.third_tampered(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters, step by step, for each language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_pseudonyms, op3_near_vectors, op4_shards, op5_byte_bpe,
     op6_near_duplicates, op7_quality, op8_token_files, op9_lm_scores,
-    op9_lm_scores_order3, op10_url_filter)}
+    op9_lm_scores_order3, op10_url_filter, op12_merkle_manifest, op13_filter_audit)}
