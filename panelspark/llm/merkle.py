@@ -9,7 +9,7 @@ slots: for every shift the sibling's slot is (slot + shift) mod ARITY, for two s
 one. Siblings lie in the same run, so all joins of a level share one dealing of the nodes by
 (tree, run) and shuffle nothing else; a run has at most ARITY nodes. The rows of slot zero then
 hold the whole run and emit its parent. Proofs go down the tree: a node's path is its own
-siblings and its parent's path, so an upper path is stored once and meets the rows in one join.
+siblings and its parent's path, so only paths of parents are stored and meet the rows in one join.
 
 Places in a part come from a range partitioning by (part, id, leaf): a row's place is its
 number in its own partition plus the counts of earlier ones, so a part with most of the rows is
@@ -23,6 +23,8 @@ root; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ def leaf_of(fields: list[Column]) -> Column:
 
 
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows(tree, ...) with place, their number from 0 within tree by `order`; stored."""
+    """rows(tree, ...) with place, their number from 0 within tree by `order`, and size, the rows
+    of tree; stored."""
     ranged = stored(
         rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
         .withColumn("id", F.monotonically_increasing_id()), "merkle-ranged")
@@ -49,23 +52,23 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     ranged = ranged.withColumn("piece", F.shiftright("id", 33))
     counts = ranged.groupBy("tree", "piece").agg(
         F.min("id").alias("start"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("tree").orderBy("piece").rowsBetween(
-        Window.unboundedPreceding, -1)
-    bases = counts.select("tree", "piece", "start",
+    whole = Window.partitionBy("tree")
+    earlier = whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("tree", "piece", "start", F.sum("n").over(whole).alias("size"),
                           F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return ranged.join(bases, ["tree", "piece"]).withColumn(
+    return stored(ranged.join(bases, ["tree", "piece"]).withColumn(
         "place", F.col("id") - F.col("start") + F.col("base")).drop(
-        "id", "piece", "start", "base")
+        "id", "piece", "start", "base"), "merkle-placed")
 
 
 def with_siblings(nodes: DataFrame, arity: int = ARITY) -> DataFrame:
-    """nodes(tree, place, digest) with run, slot, before, after: the run's other digests, joined.
+    """nodes(tree, place, digest, ...) with run, slot, before, after: the run's other digests.
 
     Nodes have unique places, gapless from 0, in a tree.
     """
-    dealt = nodes.select(
-        "tree", F.expr(f"place div {arity}").alias("run"),
-        F.expr(f"cast(place % {arity} as int)").alias("slot"), "digest").repartition("tree", "run")
+    dealt = nodes.withColumns({
+        "run": F.expr(f"place div {arity}"), "slot": F.expr(f"cast(place % {arity} as int)"),
+    }).repartition("tree", "run")
     out = dealt
     for shift in range(1, arity):
         if arity == 2:
@@ -79,57 +82,65 @@ def with_siblings(nodes: DataFrame, arity: int = ARITY) -> DataFrame:
                        & ((F.col("o_slot") - sibling) == 0), "left").drop(
             "o_tree", "o_run", "o_slot")
 
-    def side(wanted: Column) -> Column:
+    def side(wanted: Callable[[int], Column]) -> Column:
         # Shift s of slot t is slot t + s, or t + s - arity: rising slots are rising shifts.
         return F.concat(*[F.when(wanted(s), F.coalesce(f"sib{s}", F.lit(""))).otherwise("")
                           for s in range(1, arity)])
 
-    return out.select("tree", "run", "slot", "digest",
-                      side(lambda s: F.col("slot") + s >= arity).alias("before"),
-                      side(lambda s: F.col("slot") + s < arity).alias("after"))
+    return out.withColumns({"before": side(lambda s: F.col("slot") + s >= arity),
+                            "after": side(lambda s: F.col("slot") + s < arity)}).drop(
+        *[f"sib{s}" for s in range(1, arity)])
 
 
 def parents(level: DataFrame) -> DataFrame:
     """Nodes a level up: the rows of slot zero hash their own digest and all that follow."""
     return level.where("slot = 0").select(
-        "tree", F.col("run").alias("place"),
+        "tree", F.col("run").alias("place"), "size",
         F.sha2(F.concat("digest", "after"), 256).alias("digest"))
 
 
-def tree_paths(leaves: DataFrame, arity: int = ARITY) -> tuple[DataFrame, DataFrame]:
-    """(paths, roots) of leaves(tree, place, digest).
+def climbed(leaves: DataFrame, arity: int = ARITY) -> tuple[list[DataFrame], DataFrame]:
+    """(levels, roots) of leaves(tree, place, size, digest).
 
-    paths has tree, place and path, an array of (before, after) from the leaf's level up;
-    roots has tree and digest.
+    levels holds the nodes of each level that have a level above; roots is (tree, digest, level).
     """
-    sizes = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.agg(F.max("size")).first()[0] or 0
+    largest = leaves.agg(F.max("size")).first()[0] or 0
     levels, roots = [], None
-    nodes, n = leaves.select("tree", "place", "digest"), 1
+    nodes, n = leaves.select("tree", "place", "size", "digest"), 1
     while True:
-        at = sizes.where(F.expr(f"size <= {n}") & F.expr(f"size > {n // arity}")).select("tree")
-        done = nodes.join(at, "tree", "left_semi").select("tree", "digest")
+        done = nodes.where(F.expr(f"size <= {n}")).select(
+            "tree", "digest", F.lit(len(levels)).alias("level"))
         roots = done if roots is None else roots.union(done)
         if largest <= n:
-            break
-        active = nodes.join(sizes.where(F.col("size") > n).select("tree"), "tree", "left_semi")
-        levels.append(stored(with_siblings(active, arity), "merkle-level"))
-        nodes, n = parents(levels[-1]), n * arity
-    step = F.array(F.struct("before", "after"))
-    none = F.array().cast("array<struct<before:string,after:string>>")
-    paths = None
-    for level in reversed(levels):
-        own = level.select("tree", "run", (F.col("run") * arity + F.col("slot")).alias("place"),
-                           step.alias("own"))
-        if paths is None:
-            paths = own.select("tree", "place", F.col("own").alias("path"))
-            continue
-        upper = paths.select("tree", F.col("place").alias("run"), F.col("path").alias("upper"))
-        paths = own.join(upper, ["tree", "run"], "left").select(
-            "tree", "place", F.concat("own", F.coalesce("upper", none)).alias("path"))
-    if paths is None:
-        paths = leaves.select("tree", "place", none.alias("path"))
-    return paths, roots
+            return levels, roots
+        levels.append(nodes.where(F.col("size") > n))
+        nodes, n = stored(parents(with_siblings(levels[-1], arity)), "merkle-level"), n * arity
+
+
+def with_paths(levels: list[DataFrame], tops: DataFrame, leaves: DataFrame,
+               arity: int = ARITY) -> DataFrame:
+    """leaves(tree, place, size, digest, ...) with subroot and path, the siblings from the leaf up.
+
+    tops(tree, level, subroot, path) has the path above the root of each tree.
+    """
+    def started(level: int) -> DataFrame:
+        return tops.where(F.col("level") == level).select(
+            "tree", F.lit(0).cast("long").alias("run"), "subroot", F.col("path").alias("upper"))
+
+    upper = started(len(levels))
+    for k in reversed(range(1, len(levels))):
+        own = with_siblings(levels[k], arity).join(upper, ["tree", "run"]).select(
+            "tree", F.col("place").alias("run"), "subroot", _grown().alias("upper"))
+        upper = stored(own, "merkle-paths").union(started(k))
+    below = with_siblings(leaves.where("size > 1"), arity).join(upper, ["tree", "run"]).withColumn(
+        "path", _grown())
+    alone = leaves.where("size <= 1").join(started(0), "tree").withColumn("path", F.col("upper"))
+    columns = [*leaves.columns, "subroot", "path"]
+    return below.select(*columns).union(alone.select(*columns))
+
+
+def _grown() -> Column:
+    return F.concat(F.array(F.struct("before", "after")), "upper")
 
 
 def manifest(docs: DataFrame, tampered: Column, change: Column) -> DataFrame:
@@ -143,20 +154,19 @@ def manifest(docs: DataFrame, tampered: Column, change: Column) -> DataFrame:
     rows = docs.select(
         "doc_id", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
         .alias("tree"), own.alias("leaf"), F.when(tampered, other).alias("changed"))
-    leaves = stored(placed(rows, ["doc_id", "leaf"]), "merkle-leaves")
-    paths, subroots = tree_paths(leaves.select("tree", "place", F.col("leaf").alias("digest")))
-    tops = stored(subroots.withColumnRenamed("tree", "name").withColumn("tree", F.lit("")),
-                  "merkle-subroots")
-    tops = stored(placed(tops, ["name"]), "merkle-tops")
-    top_paths, roots = tree_paths(tops)
+    leaves = placed(rows, ["doc_id", "leaf"]).withColumn("digest", F.col("leaf"))
+    levels, subroots = climbed(leaves)
+    tops = placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest",
+                                  "level"), ["name"])
+    top_levels, roots = climbed(tops)
     root = roots.first()  # one row, none of an empty table
-    top = tops.join(top_paths.withColumnRenamed("path", "top_path"), ["tree", "place"],
-                    "left").select(
-        F.col("name").alias("tree"), F.col("digest").alias("subroot"),
-        F.lit(root["digest"] if root else None).cast("string").alias("root"), "top_path")
-    none = F.array().cast("array<struct<before:string,after:string>>")
-    whole = leaves.join(paths, ["tree", "place"], "left").join(top, "tree").withColumn(
-        "path", F.concat(F.coalesce("path", none), F.coalesce("top_path", none)))
+    start = roots.select("tree", "level", F.col("digest").alias("subroot"),
+                         F.array().cast("array<struct<before:string,after:string>>").alias("path"))
+    # The path above the subroots is the last part of every proof.
+    top = with_paths(top_levels, start, tops).select(
+        F.col("name").alias("tree"), "level", F.col("digest").alias("subroot"), "path")
+    whole = with_paths(levels, stored(top, "merkle-tops"), leaves).withColumn(
+        "root", F.lit(root["digest"] if root else None).cast("string"))
     folded = F.aggregate("path", F.coalesce("changed", "leaf"),
                          lambda acc, s: F.sha2(F.concat(s["before"], acc, s["after"]), 256))
     proof = F.sha2(F.array_join(F.transform(

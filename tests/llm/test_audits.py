@@ -89,8 +89,8 @@ def test_manifest_of_nothing(spark):
 
 
 def test_binary_tree_uses_xor(spark):
-    nodes = spark.createDataFrame([("", i, h(str(i))) for i in range(5)],
-                                  "tree string, place long, digest string")
+    nodes = spark.createDataFrame([("", i, 5, h(str(i))) for i in range(5)],
+                                  "tree string, place long, size long, digest string")
     got = {(r.run, r.slot): (r.before, r.after) for r in merkle.with_siblings(nodes, 2).collect()}
     assert got[(0, 0)] == ("", h("1")) and got[(0, 1)] == (h("0"), "") and got[(2, 0)] == ("", "")
 
