@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import batch_words, slices
+from panelspark.llm.shared import batch_words, slices, stored
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -92,7 +92,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (F.when(F.max((F.col("quality") == 1).cast("int")) == 1, GOOD).otherwise(0)
          + F.when(F.max((F.col("toxic") == 1).cast("int")) == 1, TOXIC).otherwise(0))
         .alias("flags")).where("flags > 0")
-    rows = masked(docs)
+    rows = stored(masked(docs), "masks")
     # Only ids that are there meet the labels: rows without one would all go to one task.
     named = rows.where("doc_id is not null").join(flags, "doc_id", "left").select(
         "doc_id", "part", "digest",
