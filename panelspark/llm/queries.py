@@ -17,6 +17,7 @@ from panelspark.llm import (
     pii,
     quality,
     sharding,
+    suffix_dedup,
     token_files,
     url_filter,
 )
@@ -106,6 +107,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 400-byte strings that start twice or more in the table."""
+    return suffix_dedup.cleaned(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; proofs of a third are folded on changed texts."""
     return merkle.third_tampered(table(spark, sf_dir, "documents"))
@@ -119,4 +126,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_pseudonyms, op3_near_vectors, op4_shards, op5_byte_bpe,
     op6_near_duplicates, op7_quality, op8_token_files, op9_lm_scores,
-    op9_lm_scores_order3, op10_url_filter, op12_merkle_manifest, op13_filter_audit)}
+    op9_lm_scores_order3, op10_url_filter, op11_suffix_dedup,
+    op12_merkle_manifest, op13_filter_audit)}
