@@ -40,8 +40,10 @@ from panelspark.llm.suffix_runs import LoserTree, common_prefix, opened, run_pie
 
 LENGTH = 400
 CONTEXT, MEAN = 8, 40
-RUN_BYTES = 48 << 20  # strings of one sorted run
-PART_BYTES = 48 << 20  # strings that a part should hold
+BLOCK = 1 << 16  # bytes hashed at once
+SLICE = 1 << 19  # bytes of texts parsed at once, but for a longer text
+RUN_BYTES = 12 << 20  # strings of one sorted run
+PART_BYTES = 32 << 20  # strings that a part should hold
 SAMPLED_DOCS = 3000  # documents whose strings set the bounds of the parts
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -70,8 +72,11 @@ class Parsed:
         up, self.down = powers(len(raw) + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64),
                                     np.cumsum(TABLE[raw] * up[:-1], dtype=np.uint64)])
-        end = np.arange(CONTEXT, len(raw) + 1)
-        cut = end[self.hashed(end - CONTEXT, end) < U((1 << 64) // MEAN)]
+        found = [np.zeros(0, np.int64)]
+        for lo in range(CONTEXT, len(raw) + 1, BLOCK):  # bounds what the hashes of a block take
+            end = np.arange(lo, min(lo + BLOCK, len(raw) + 1))
+            found.append(end[self.hashed(end - CONTEXT, end) < U((1 << 64) // MEAN)])
+        cut = np.concatenate(found)
         text = np.searchsorted(self.edge, cut - CONTEXT, "right") - 1
         inside = cut <= self.edge[text + 1]
         self.cut, text = cut[inside], text[inside]
@@ -110,7 +115,7 @@ def pieces(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, th, at, names, bare = [], [], [], [], [[], []]
-            for part in slices(iter([batch]), most=2 << 20):
+            for part in slices(iter([batch]), most=SLICE):
                 p = Parsed(_texts(part))
                 n = np.diff(p.first) + 1
                 text = np.repeat(np.arange(part.num_rows), n)
@@ -411,7 +416,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     cuts = [b for b, _ in _bounds(texts, open_windows)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _flushed((x for batch in batches for part in slices(iter([batch]), most=4 << 20)
+        yield from _flushed((x for batch in batches for part in slices(iter([batch]), most=SLICE)
                              for x in open_windows(part)), cuts)
 
     def merge(rows: pa.Table) -> pa.Table:
