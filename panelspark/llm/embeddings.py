@@ -13,8 +13,8 @@ For 64 dimensions a pair at cosine 0.95 meets in one table with probability 0.69
 0.49 (three), so it is missed by all 8 or 16 tables with probability 1e-4 or 2e-5; closer pairs
 much more rarely. The tests measure recall against brute force.
 
-Defined cases: a vector that is null, empty, zero, of another length than most or holds null or
-non-finite components links with nothing; equal vectors are compared once and link with each
+Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with
+nothing; vectors of one length are compared with each other only, whichever lengths there are; equal vectors are compared once and link with each
 other; rows of equal vec_id with different vectors count as linked rows but share a component;
 an empty table gives no rows; further columns are ignored.
 """
@@ -22,10 +22,11 @@ an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,15 +94,14 @@ def buckets(unit: np.ndarray, hashes: int, tables: int, probes: int = PROBES) ->
     return out.view(np.int64)
 
 
-def block_links(ids: np.ndarray, unit: np.ndarray, own: np.ndarray, files: np.ndarray,
-                bucket: int, left: np.ndarray, right: np.ndarray | None, threshold: float
-                ) -> tuple[np.ndarray, np.ndarray]:
+def block_links(ids: np.ndarray, unit: Callable, files: np.ndarray, tables: int, bucket: int, left: np.ndarray,
+                right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) of one bucket that reach the threshold and meet here first.
 
-    `own` are the vectors' own buckets, `files` all they are filed under, in table order.
+    `unit(rows)` gives the vectors, `files` all buckets they are filed under, in table order.
     """
     other = left if right is None else right
-    i, j = np.nonzero(unit[left] @ unit[other].T >= threshold)
+    i, j = np.nonzero(unit(left) @ unit(other).T >= threshold)
     if right is None:
         i, j = i[i < j], j[i < j]
     i, j = left[i], other[j]
@@ -109,17 +109,15 @@ def block_links(ids: np.ndarray, unit: np.ndarray, own: np.ndarray, files: np.nd
         return i, j
     # The same order of the two in every bucket, whichever blocks they are in.
     i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-    # They meet in table t under one's own bucket, if the other is filed there too.
-    tables, width = own.shape[1], files.shape[1] // own.shape[1]
+    # They meet first in the first entry of one that the other has, own bucket or probe.
+    width = files.shape[1] // tables
     first = np.full(len(i), np.iinfo(np.int64).min)
     todo = np.ones(len(i), bool)
-    for t in range(tables):
-        span = slice(t * width, (t + 1) * width)
-        for x, y in ((i, j), (j, i)):
-            key = own[x, t]
-            meet = todo & (files[y, span] == key[:, None]).any(axis=1)
-            first[meet] = key[meet]
-            todo &= ~meet
+    for e in range(files.shape[1]):
+        span = slice(e // width * width, (e // width + 1) * width)
+        meet = todo & (files[j, span] == files[i, e][:, None]).any(axis=1)
+        first[meet] = files[i[meet], e]
+        todo &= ~meet
     here = first == bucket
     return i[here], j[here]
 
@@ -159,9 +157,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
         F.desc("count"), "n").first()
     width = length["n"] if length else 1
     # Adding zero turns -0.0 into 0.0, so that equal vectors are equal keys.
-    usable = (marked.where("sound").where(F.size("embedding") == width)
-              .withColumn("embedding", F.transform(
-                  "embedding", lambda x: x + F.lit(0.0).cast("float" if small else "double"))))
+    usable = marked.where("sound").withColumn("embedding", F.transform(
+        "embedding", lambda x: x + F.lit(0.0).cast("float" if small else "double")))
     classes = stored(usable.groupBy("embedding").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")
     total = classes.count()
@@ -172,8 +169,13 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                unit = unit_rows(batch.column("embedding"), width)
-                key = buckets(unit, hashes, tables).reshape(len(unit), -1)
+                size = pc.list_value_length(batch.column("embedding")).to_numpy()
+                key = np.empty((batch.num_rows, tables * per), np.int64)
+                for n in np.unique(size):  # vectors of one length meet each other only
+                    own = np.flatnonzero(size == n)
+                    unit = unit_rows(batch.column("embedding").take(pa.array(own)), n)
+                    found = buckets(unit, hashes, tables).reshape(len(own), -1)
+                    key[own] = mix(found.view(np.uint64) ^ np.uint64(n)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(list(key), pa.list_(pa.int64()))],
                     names=["id", "files"])
@@ -198,12 +200,18 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
         copies = group.column("copies").to_numpy()
         lo, hi = group.column("lo").to_numpy(), group.column("hi").to_numpy()
         second = group.column("second").to_numpy()
-        unit = unit_rows(group.column("embedding").combine_chunks(), width)
+        vectors = group.column("embedding").combine_chunks()
+        size = pc.list_value_length(vectors).to_numpy()
         files = group.column("files").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        own = files[:, ::per]
-        order = np.lexsort((ids, hi, lo, bucket))
+        start = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()))
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            flat[start[own][:, None] + np.arange(n)] = unit_rows(vectors.take(pa.array(own)), n)
+        unit = lambda rows: flat[start[rows][:, None] + np.arange(size[rows[0]])]
+        order = np.lexsort((ids, hi, lo, size, bucket))
         change = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(lo[order]) != 0)
-                                | (np.diff(hi[order]) != 0)) + 1
+                                | (np.diff(hi[order]) != 0) | (np.diff(size[order]) != 0)) + 1
         links, pairs = np.zeros(len(ids), np.int64), []
         for part in np.split(order, change):
             if len(part) < 2:
@@ -214,7 +222,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
                 left, right = part[~second[part]], part[second[part]]
                 if not len(left) or not len(right):
                     continue
-            i, j = block_links(ids, unit, own, files, bucket[part[0]], left, right, threshold)
+            i, j = block_links(ids, unit, files, tables, bucket[part[0]], left, right,
+                               threshold)
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
             pairs.append((i, j))
@@ -240,7 +249,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
         F.coalesce("component", "id").alias("component_id"))
     linked = usable.select("vec_id", "embedding").join(known, "embedding").select(
         "vec_id", "n_links", "component_id")
-    alone = marked.where(~F.col("sound") | (F.size("embedding") != width)).select(
+    alone = marked.where(~F.col("sound")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

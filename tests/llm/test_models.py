@@ -73,6 +73,39 @@ def test_vectors_at_the_threshold_and_odd_ones(spark):
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(10)]
+    rows += [(20 + i, [1.0 + i, 2.0 + 2 * i]) for i in range(3)] + [(30, [5.0]), (31, [7.0]), (32, [-1.0])]
+    far = rng.normal(size=80)
+    rows += [(40, far.tolist()), (41, (far + 1e-3).tolist()), (42, [1.0, 2.0, 0.0]), (43, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(frame).collect()}
+    for n in {len(v) for _, v in rows}:
+        part = brute_vectors([(i, v) for i, v in rows if len(v) == n])
+        assert {i: got[i] for i in part} == part
+
+
+def test_pairs_that_share_only_probes(spark):
+    ids, unit = np.arange(2), np.array([[1.0, 0.0], [1.0, 0.0]])
+    files = np.array([[1, 2, 3, 4, 5, 6], [7, 2, 8, 9, 10, 11]])
+    found = embeddings.block_links(ids, lambda rows: unit[rows], files, 2, 2, ids, None, 0.95)
+    assert [x.tolist() for x in found] == [[0], [1]]
+
+
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_recall_by_number_of_axes(hashes):
+    rng = np.random.default_rng(hashes)
+    a, z = rng.normal(size=(2, 3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.95 * a + math.sqrt(1 - 0.95 ** 2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    tables = embeddings.n_tables(hashes)
+    x, y = (embeddings.buckets(v, hashes, tables) for v in (a, b))
+    met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() >= 0.999
+
+
 def test_vectors_in_split_buckets(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rng = np.random.default_rng(4)
