@@ -1,9 +1,11 @@
 """Shards by proportional stratified interleaving.
 
 Rows of each source are shuffled by a seeded hash and ranked; a row of rank r among n gets the
-fractional rank (2r + 1) / 2n. Sorted by it, every stretch of the table holds the sources in
-their proportions, so cutting the order into equal numbers of rows gives shards with the
-mixture of the whole and row counts at most one apart (the law `rows`).
+fractional rank (r + u) / n, where u in [0, 1) is a seeded hash of the source. Sorted by it, every
+stretch of the table holds the sources in their proportions, so cutting the order into equal
+numbers of rows gives shards with the mixture of the whole and row counts at most one apart (the
+law `rows`). The offset u spreads the rows of sources that have only a few: without it all sources
+of one row would meet in the middle.
 
 Ranks and places come from counts of hash buckets and rows numbered inside a bucket: a source
 with most of the rows is spread over all buckets, and no window holds more than a bucket.
@@ -55,12 +57,14 @@ def shards(docs: DataFrame, n_shards: int, source: str = "source", key: str = "d
                 F.xxhash64(F.lit(seed), "shard_key"), 2))
             .withColumn("shard_bucket", F.floor(
                 F.col("shard_hash") / F.lit(float(HASH_SPAN)) * buckets)))
+    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "shard_source"), 11) / F.lit(
+        float(1 << 53))
     ranked = _numbered(rows, ["shard_source"], "shard_bucket", "shard_hash", "shard_key")
     per_source = given.groupBy(F.col("shard_source").alias("shard_name")).agg(
         F.count(F.lit(1)).alias("shard_of"))
     spread = (ranked.join(per_source, F.col("shard_source").eqNullSafe(F.col("shard_name")))
               .withColumn("fraction",
-                          (2 * F.col("shard_rank") + 1) / (2 * F.col("shard_of")))
+                          (F.col("shard_rank") + offset) / F.col("shard_of"))
               .withColumn("shard_bucket", F.floor(F.col("fraction") * buckets))
               .withColumn("shard_one", F.lit(0)))
     placed = _numbered(spread, ["shard_one"], "shard_bucket", "fraction", "shard_source",
