@@ -22,10 +22,10 @@ texts of the largest group and each other, a block by a block as a product of 0-
 a block gives one link for each text and group.
 
 Defined cases: a text with fewer than five words is one shingle of all its words; texts without
-words are duplicates only of equal texts; a null text is in a class of its own; rows of equal
-doc_id are versions of one document and share its class; rows with a null doc_id are kept and
-get the class of equal texts that have one, else a null class; an empty table gives no rows;
-further columns are ignored.
+words are duplicates only of equal texts; a null text is in a class of its own, named by its row;
+texts are told apart by 64 bits of their SHA-256, so repeated rows, and one doc_id with several
+texts, are rows of the texts they hold; a class is named by the smallest doc_id of its rows, null
+where none has one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -203,10 +203,10 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         F.min(F.xxhash64("id", "bucket")).alias("drawn")).where("members > 1")
     sketch = signed.select("id", "weight", *[f"s{i}" for i in range(K // 64)])
     multi = stored(in_band.join(shared, "bucket").join(sketch, "id"), "buckets")
-    # The ids grow with the corpus: one join strategy at every size.
-    one_each = docs.join(multi.select(F.col("id").alias("doc_id")).distinct().hint("merge"),
-                         "doc_id", "left_semi")
-    texts = stored(one_each.select(F.col("doc_id").cast("long").alias("id"), "text"), "texts")
+    # One row per text, map-side first; ids grow with the corpus: one join strategy at all sizes.
+    one_each = with_text_id(docs.where("text is not null").select("text")).dropDuplicates(["id"])
+    texts = stored(one_each.join(multi.select("id").distinct().hint("merge"), "id", "left_semi")
+                   .select("id", "text"), "texts")
 
     centre = multi.where(F.xxhash64("id", "bucket") == F.col("drawn"))
     star = (multi.alias("x").join(centre.alias("y"), "bucket")
@@ -300,23 +300,50 @@ def block_links(outside: DataFrame, members: DataFrame, texts: DataFrame,
         run, "a long, b long")
 
 
+def text_id(text: str = "text") -> F.Column:
+    """64 bits that name a text, from its SHA-256; null for a null text."""
+    digest = F.sha2(F.encode(F.col(text), "UTF-8"), 256)
+    return F.when(F.col(text).isNotNull(), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+
+
+def with_text_id(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("id", text_id())
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """Per text of documents(doc_id, text): id, first, copies, component, class_id, leads.
+
+    first is its smallest doc_id, copies its number of rows; of each component one text leads,
+    the one that holds the smallest doc_id.
+    """
+    docs = docs.select("doc_id", "text")
+    signs = stored(signatures(docs), "signatures").where("text_key is not null").withColumn(
+        "id", F.conv(F.substring(F.lower(F.hex("text_key")), 1, 15), 16, 10).cast("long"))
+    equal = signs.groupBy("id").agg(
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    signed = stored(signs.drop("doc_id", "text_key").dropDuplicates(["id"]), "signed")
+    parts = components(stored(links(signed, docs), "all-links"))
+    named = equal.join(parts, F.col("id") == F.col("node"), "left").select(
+        "id", "first", "copies", F.coalesce("component", "id").alias("component"))
+    # Texts without any doc_id come last; equal doc_ids go by the text's id.
+    order = F.struct(F.col("first").isNull(), "first", "id")
+    best = named.groupBy("component").agg(F.min(order).alias("best"))
+    return named.join(best, "component").select(
+        "id", "first", "copies", "component", F.col("best.first").alias("class_id"),
+        (F.col("id") == F.col("best.id")).alias("leads"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of documents(doc_id, text): doc_id, class_id, copies, kept.
 
     class_id is the smallest doc_id of the near-duplicate class, copies the number of rows with
-    the same text, kept is true for the row's document that represents its class.
+    the same text, kept is true for the rows that hold the class's leading text under that id.
     """
-    docs = docs.select("doc_id", "text")
-    signs = stored(signatures(docs), "signatures")
-    equal = signs.where("text_key is not null").groupBy("text_key").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    signed = stored(signs.join(equal, ["text_key"]).where("doc_id = id")
-                    .drop("doc_id", "text_key", "copies"), "signed")
-    classes = components(stored(links(signed, docs), "all-links"))
-    named = equal.join(classes, F.col("id") == F.col("node"), "left").select(
-        "text_key", F.coalesce("component", "id").alias("class_id"), "copies")
-    return signs.select("doc_id", "text_key").join(named, "text_key", "left").select(
-        "doc_id", F.when(F.col("text_key").isNull(), F.col("doc_id"))
-        .otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("copies", F.lit(1)).alias("copies")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    rows = with_text_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop(
+        "text")
+    found = text_classes(docs).select("id", "class_id", "copies", "leads")
+    return rows.join(found, "id", "left").select(
+        "doc_id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+        .alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.when(F.col("id").isNull(), True).otherwise(
+            F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
