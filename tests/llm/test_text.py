@@ -288,6 +288,25 @@ def test_pipeline_stages(spark, sf, odd_docs):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(named.values())
 
 
+def test_pipeline_decides_by_row(spark, sf):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(60)) for x in "abc")
+    near = a.replace("a59", "z")
+    rows = [(3, a), (7, a), (7, b), (7, b), (None, b), (None, c), (None, c), (9, near), (3, c + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, sf)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted(
+        [(3, a), (7, b), (3, c + " x")])
+
+
+def test_repeated_rows_make_no_pairs(spark):
+    text = " ".join(f"w{j}" for j in range(60))
+    rows = [(1, text)] * 500 + [(2, text + " x")] * 300 + [(5, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.copies, r.kept)
+                  for r in minhash.near_duplicates(docs).collect())
+    assert got == {(1, 1, 501, True): 500, (2, 1, 300, False): 300, (5, 1, 501, False): 1}
+
+
 def test_pipeline_stages_on_odd_tables(spark, sf, odd_docs, no_docs):
     long = spark.createDataFrame(
         [(50 + i, " ".join(f"w{i}x{j}" for j in range(40)), "good", "x") for i in range(30)],
