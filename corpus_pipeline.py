@@ -4,8 +4,10 @@ A stage takes (spark, docs, sf_dir), works on all rows it is given and returns t
 `documents` (further columns stay), the last one the packed pieces. Each result is written as
 Parquet and read again as the next stage's docs.
 
-Defined cases: rows with a null or empty text fail the quality rules; rows of equal doc_id are
-one document from the near-duplicate stage on; rows with a null doc_id pass that stage.
+Defined cases: rows with a null or empty text fail the quality rules; the near-duplicate stage
+decides by row, that is by doc_id and text, so of repeated rows one stays, unlike texts of one
+doc_id are documents of their own, and rows with a null doc_id are judged by their text like all
+others; rows with a null text pass it.
 """
 
 from __future__ import annotations
@@ -27,14 +29,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id."""
-    found = minhash.near_duplicates(docs)
-    dropped = found.where("not kept").select("doc_id").distinct()
-    # Dropped ids grow with the corpus: one join strategy at every size, whose dealing of the
-    # rows also serves the removal of repeated ones.
-    rest = docs.where("doc_id is not null").join(dropped.hint("merge"), "doc_id", "left_anti")
-    return rest.dropDuplicates(["doc_id"]).select(*docs.columns).union(
-        docs.where("doc_id is null"))
+    """One row of each near-duplicate class, one with its leading text and smallest doc_id."""
+    leaders = minhash.text_classes(docs).where("leads").select(
+        F.struct(F.col("class_id").alias("doc_id"), "id").alias("near_key"))
+    keyed = docs.where("text is not null").withColumn(
+        "near_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"),
+                             minhash.text_id().alias("id")))
+    # Leaders grow with the corpus: one join strategy at every size, whose dealing of the rows
+    # also serves the removal of repeated ones.
+    rest = keyed.join(leaders.hint("merge"), "near_key", "left_semi")
+    return rest.dropDuplicates(["near_key"]).select(*docs.columns).union(
+        docs.where("text is null"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
