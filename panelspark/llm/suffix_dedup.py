@@ -41,7 +41,7 @@ from panelspark.llm.suffix_runs import LoserTree, common_prefix, opened, run_pie
 LENGTH = 400
 CONTEXT, MEAN = 8, 40
 BLOCK = 1 << 16  # bytes hashed at once
-SLICE = 1 << 19  # bytes of texts parsed at once, but for a longer text
+SLICE = 1 << 18  # bytes of texts parsed at once, but for a longer text
 RUN_BYTES = 12 << 20  # strings of one sorted run
 PART_BYTES = 32 << 20  # strings that a part should hold
 SAMPLED_DOCS = 3000  # documents whose strings set the bounds of the parts
@@ -54,7 +54,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, for i below n."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -380,7 +380,7 @@ def open_windows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict, dic
         sure = (inner >= 0) & (whole[j] >= inner + 2)
         item = np.minimum(j + 1, len(a) + 1)
         maybe = (inner <= 0) | (differs[item] >= inner)
-        strings, starts = [], []
+        strings, starts, bare = [], [], []
         cut = np.append(a, 0)
         left, right = np.maximum(cut[j] - CONTEXT, 0), cut[np.maximum(m, 0)]
         right = np.maximum(left, right)  # differs only where there is no cut inside
@@ -391,21 +391,33 @@ def open_windows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict, dic
             if not maybe[e] and (int(item[e]), c) not in goes_on:
                 continue
             lo, hi = int(event[e]), int(stop[e])
-            starts.append(np.arange(lo, hi))
             if c < 0:
-                strings += [bytes(10) + text[s:s + LENGTH] for s in range(lo, hi)]
+                bare.append(np.arange(lo, hi))
                 continue
+            starts.append(np.arange(lo, hi))
             own, x, y = name[8 * e:8 * e + 8], int(left[e]), int(right[e])
             strings += [own + (x - s).to_bytes(2, "big") + text[s:x] + text[y:s + LENGTH]
                         for s in range(lo, hi)]
-        n = len(strings)
-        k = int(sure.sum())
+        begin, count = event[sure], (stop - event)[sure]
+        if bare:
+            # Mostly texts of short periods: a window that comes back in its text is settled.
+            where = np.concatenate(bare)
+            own = parsed.hashed(parsed.edge[i] + where, parsed.edge[i] + where + LENGTH)
+            _, first, inverse, times = np.unique(own, return_index=True, return_inverse=True,
+                                                 return_counts=True)
+            again = where[times[inverse] > 1]
+            head = np.flatnonzero(np.diff(again, prepend=-2) != 1)
+            begin = np.concatenate([begin, again[head]])
+            count = np.concatenate([count, np.diff(np.append(head, len(again)))])
+            starts.append(where[first])
+            strings += [bytes(10) + text[s:s + LENGTH] for s in where[first].tolist()]
+        n, k = len(strings), len(begin)
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         yield strings, {
             "d": np.full(n, d[i]), "th": np.full(n, th[i]), "t": at.astype(np.int32),
             "names": np.zeros(n, np.int32)}, {
-            "d": np.full(k, d[i]), "th": np.full(k, th[i]), "t": event[sure].astype(np.int32),
-            "n": (stop - event)[sure].astype(np.int32)}
+            "d": np.full(k, d[i]), "th": np.full(k, th[i]), "t": begin.astype(np.int32),
+            "n": count.astype(np.int32)}
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
