@@ -1,7 +1,7 @@
 """Removal of long strings that occur twice, by sorting suffixes of the parsed texts.
 
 Texts are cut where a hash of the last CONTEXT bytes falls below a limit, about every MEAN bytes,
-so equal stretches are cut alike. A piece with the CONTEXT bytes before it has a name, a 64-bit
+so equal stretches are cut alike. A piece with the CONTEXT bytes before it has a name, a
 hash. The suffixes of this parse are sorted first: each begins at a piece, holds the names up to
 all that a window from its first piece can reach, and then the name of the piece before it. A
 suffix shares with a neighbour in the order the longest run of names that it shares with any
@@ -13,15 +13,15 @@ inner pieces; the inner pieces stand as their hash, the bytes on both sides as t
 strings are windows that occur twice. Both sorts are merge sorts of front-coded runs with loser
 trees (`suffix_runs`).
 
-Windows that hold no whole piece (rare, or in texts of one repeated character) are sorted as they
-are. Pieces that occur once can't be part of the first sort: they are counted before it, where equal
+Windows without a cut (rare, or in texts of one repeated character) stand as the hash of their
+middle and the bytes on both sides. Pieces that occur once can't be part of the first sort: they are counted before it, where equal
 pieces of a task travel once. No pair of texts is formed anywhere.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all bytes; rows of equal id
 and text are texts of their own and repeat each other; a row without an id counts as any other;
 an empty table gives no rows; further columns are ignored. Two texts of one id are told apart by
-a 32-bit hash, names by 64 bits; a false match needs equal bytes around and equal hashes of
-unlike pieces at once.
+a 32-bit hash, names by 48 bits and more; a false match needs unlike pieces of equal hash
+between equal ones.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ BLOCK = 1 << 16  # bytes hashed at once
 SLICE = 1 << 18  # bytes of texts parsed at once, but for a longer text
 RUN_BYTES = 12 << 20  # strings of one sorted run
 PART_BYTES = 32 << 20  # strings that a part should hold
+SIDE = 48  # bytes on both sides of a window without a cut that stand as they are
+NAME = 6  # bytes of a name in the strings of the first sort
 SAMPLED_DOCS = 3000  # documents whose strings set the bounds of the parts
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -177,7 +179,9 @@ def parse_suffixes(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict]]:
         own = slice(offset[i], offset[i + 1])
         order = np.argsort(at[own])
         t, size = at[own][order] >> 32, at[own][order] & 0xFFFFFFFF
-        text = h[own][order].astype(">i8").tobytes()
+        text = h[own][order].astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - NAME:].copy()
+        text[(text == 0).all(axis=1), -1] = 1  # zero ends the names
+        text = text.tobytes()
         n = len(t)
         ends = np.append(np.flatnonzero(np.diff(t) != 1) + 1, n)
         run_end = ends[np.searchsorted(ends, np.arange(n), "right")]
@@ -191,12 +195,12 @@ def parse_suffixes(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict]]:
         for k in range(n):
             place = int(t[k]).to_bytes(4, "big")
             if not after_gap[k]:
-                before = text[8 * k - 8:8 * k]
+                before = text[NAME * (k - 1):NAME * k]
             elif t[k] == 0:
-                before = bytes(8)
+                before = bytes(NAME)
             else:
-                before = hashlib.blake2b(mark + place, digest_size=8).digest()
-            s = text[8 * k:8 * stop[k]] + bytes(8) + before
+                before = hashlib.blake2b(mark + place, digest_size=NAME).digest()
+            s = text[NAME * k:NAME * stop[k]] + bytes(NAME) + before
             strings.append(s if reach[k] <= run_end[k] else s + mark + place)
         yield strings, {"d": np.full(n, d[i]), "th": np.full(n, th[i]),
                         "t": t.astype(np.int32), "names": (stop - np.arange(n)).astype(np.int32)}
@@ -228,12 +232,11 @@ def _flushed(rows: Iterator[tuple[list[bytes], dict, dict]], bounds: list[bytes]
         yield out()
 
 
-def _bounds(rows: DataFrame, make: Callable) -> list[tuple[bytes, dict]]:
+def _bounds(rows: DataFrame, make: Callable, n: int) -> list[tuple[bytes, dict]]:
     """Strings of sampled texts, with their payload, that cut the sort into parts.
 
-    `make` gives the strings and payload of a batch's texts.
+    `make` gives the strings and payload of a batch's texts; there are about n texts.
     """
-    n = rows.count()
     every = max(1, n // SAMPLED_DOCS)
     step = 16
 
@@ -274,7 +277,7 @@ def shared_names(texts: DataFrame) -> DataFrame:
     neighbour in the order that has another piece before, same that with one that has the same
     and goes on in another way (-1: none).
     """
-    bounds = _bounds(texts, parse_suffixes)
+    bounds = _bounds(texts, parse_suffixes, texts.count())
     cuts = [b for b, _ in bounds]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +285,7 @@ def shared_names(texts: DataFrame) -> DataFrame:
                             cuts)
 
     def before(s: bytes, names: int) -> bytes:
-        return s[8 * names + 8:8 * names + 16]
+        return s[NAME * names + NAME:NAME * names + 2 * NAME]
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         runs = [opened(p) for p in rows.column("piece").to_pylist()]
@@ -313,7 +316,7 @@ def shared_names(texts: DataFrame) -> DataFrame:
                 break
             row += 1
             if row:
-                common = min(shared // 8, own, last_n)
+                common = min(shared // NAME, own, last_n)
                 most[row - 1] = max(most[row - 1], common)
                 most[row] = max(most[row], common)
                 if shared < len(s) or len(s) != len(last):
@@ -398,7 +401,10 @@ def open_windows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict, dic
             own, x, y = name[8 * e:8 * e + 8], int(left[e]), int(right[e])
             strings += [own + (x - s).to_bytes(2, "big") + text[s:x] + text[y:s + LENGTH]
                         for s in range(lo, hi)]
-        begin, count = event[sure], (stop - event)[sure]
+        # Neighbouring sure events are one range.
+        head = sure & ~np.append(False, sure[:-1])
+        tail = sure & ~np.append(sure[1:], False)
+        begin, count = event[head], stop[tail] - event[head]
         if bare:
             # Mostly texts of short periods: a window that comes back in its text is settled.
             where = np.concatenate(bare)
@@ -409,8 +415,13 @@ def open_windows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict, dic
             head = np.flatnonzero(np.diff(again, prepend=-2) != 1)
             begin = np.concatenate([begin, again[head]])
             count = np.concatenate([count, np.diff(np.append(head, len(again)))])
-            starts.append(where[first])
-            strings += [bytes(10) + text[s:s + LENGTH] for s in where[first].tolist()]
+            where = where[first]
+            starts.append(where)
+            inner_of = parsed.hashed(parsed.edge[i] + where + SIDE,
+                                     parsed.edge[i] + where + LENGTH - SIDE).astype(">u8").tobytes()
+            strings += [bytes(8) + inner_of[8 * k:8 * k + 8] + text[s:s + SIDE]
+                        + text[s + LENGTH - SIDE:s + LENGTH]
+                        for k, s in enumerate(where.tolist())]
         n, k = len(strings), len(begin)
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         yield strings, {
@@ -420,12 +431,12 @@ def open_windows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict, dic
             "n": count.astype(np.int32)}
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
+def repeated_windows(texts: DataFrame, n: int) -> DataFrame:
     """(d, th, start, n): runs of n starts of windows that occur twice; runs may overlap.
 
-    `texts` has d, th, text and marks, as `shared_names` gives them.
+    The about n `texts` have d, th, text and marks, as `shared_names` gives them.
     """
-    cuts = [b for b, _ in _bounds(texts, open_windows)]
+    cuts = [b for b, _ in _bounds(texts, open_windows, n)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _flushed((x for batch in batches for part in slices(iter([batch]), most=SLICE)
@@ -478,7 +489,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("t", "most", "other", "same")).alias("marks"))
     long = keyed.where(F.octet_length("text") >= LENGTH)
     once = long.select("d", "th", "text").join(marks, ["d", "th"])
-    windows = stored(repeated_windows(once), "suffix-windows")
+    windows = stored(repeated_windows(once, texts.count()), "suffix-windows")
     equal = long.groupBy("d", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "d", "th", F.lit(-1).alias("start"), F.lit(0).alias("n"))
     spans = windows.union(equal).groupBy("d", "th").agg(

@@ -40,20 +40,21 @@ def run_pieces(keys: list[bytes], payload: Arrays, bounds: list[bytes],
     """
     n_parts = len(bounds) + 1
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    first, again, rank = [], [], []
+    first, again, rank, twin = [], [], [], []
     last, seen = None, 0
     for i in order:
         if keys[i] == last:
             seen += 1
             again.append(i)
             rank.append(seen)
+            twin.append(len(first) - 1)
         else:
             last, seen = keys[i], 0
             first.append(i)
     strings = [keys[i] for i in first]
     edges = [0, *[bisect_left(strings, b) for b in bounds], len(strings)]
-    twin = {keys[i] for i in again}
-    multi = np.array([s in twin for s in strings], bool) if twin else np.zeros(len(first), bool)
+    multi = np.zeros(len(first), bool)
+    multi[twin] = True
     at = np.array(first, np.int64)
     copies = np.array(again, np.int64)
     copy_part = (np.array(rank, np.int64) * 7919 + copies) % n_parts
