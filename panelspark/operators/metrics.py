@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import scalar as X
 from panelspark.operators import scale
+from panelspark.session import stored
 
 
 def _error() -> Column:
@@ -41,64 +42,108 @@ def pinball(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
 
 # --- order -------------------------------------------------------------------
 
+def _average_rank(prefix: str) -> Column:
+    return F.col(f"{prefix}_before") + (F.col(f"{prefix}_eq") + 1) / 2.0
+
+
 def spearman_by_period(df: DataFrame, group: str = "gw") -> DataFrame:
     """Rank correlation per period with average ranks; periods of one row are left out."""
-    ranked = scale.with_value_ranks(df, [group], "actual", "a")
-    ranked = scale.with_value_ranks(ranked, [group], "pred", "p")
-    rank = lambda p: F.col(f"{p}_before") + (F.col(f"{p}_eq") + 1) / 2.0
+    ranked = scale.rank_cube(df, {c: ([group], [(by, "asc")])
+                                  for c, by in (("a", "actual"), ("p", "pred"))})
     return (ranked.groupBy(group)
-            .agg(X.correlation(rank("a"), rank("p")).alias("rho"), F.count(F.lit(1)).alias("n"))
+            .agg(X.correlation(_average_rank("a"), _average_rank("p")).alias("rho"),
+                 F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= 2))
 
 
 def concordance_by_period(df: DataFrame, group: str = "gw") -> DataFrame:
     """Share of ordered row pairs that both columns order alike; ties disagree."""
-    pairs = scale.order_code_pairs(df, [group], "actual", "pred")
+    return _concordance(df, [group])
+
+
+def _concordance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    pairs = scale.order_code_pairs(df, keys, "actual", "pred")
     return pairs.where(F.col("n") >= 2).select(
-        group, "n", (2.0 * F.col("concordant") / (F.col("n") * (F.col("n") - 1)))
+        *keys, "n", (2.0 * F.col("concordant") / (F.col("n") * (F.col("n") - 1)))
         .alias("concordance"))
 
 
+def with_top_fractions(df: DataFrame, flags: Mapping[str, tuple[Sequence[str], str]],
+                       top: float = 0.10, tie: str = "player_code") -> DataFrame:
+    """Flag the first ``max(1, ceil(n * top))`` rows per group by a column, ties by key.
+
+    ``flags`` maps a flag to its (keys, column); all are placed in one pass.
+    """
+    placed = scale.rank_cube(df, {f"__{name}": (keys, [(by, "desc"), (tie, "asc")])
+                                  for name, (keys, by) in flags.items()})
+    for name in flags:
+        p = f"__{name}"
+        k = F.greatest(F.lit(1), F.ceil(F.col(f"{p}_total") * float(top)))
+        placed = placed.withColumn(name, F.col(f"{p}_before") < k).drop(
+            f"{p}_eq", f"{p}_before", f"{p}_total")
+    return placed
+
+
 def with_top_fraction(df: DataFrame, keys: Sequence[str], by: str, name: str,
                       top: float = 0.10, tie: str = "player_code") -> DataFrame:
-    """Flag the first ``max(1, ceil(n * top))`` rows per group by ``by``, ties by key."""
-    placed = scale.row_positions(df, keys, [(by, "desc"), (tie, "asc")], "__pos")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    k = F.greatest(F.lit(1), F.ceil(F.col("__n") * float(top)))
-    return placed.join(sizes, list(keys)).withColumn(
-        name, F.col("__pos") < k).drop("__pos", "__n")
+    return with_top_fractions(df, {name: (keys, by)}, top, tie)
+
+
+def _hits() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("a_top") & F.col("p_top")).alias("hits"),
+            F.count_if("a_top").alias("k")]
 
 
 def topk_hit_rate(df: DataFrame, top: float = 0.10, group: str = "gw") -> DataFrame:
     """Share of the actual top rows that the forecast also put at the top, over all periods."""
-    both = with_top_fraction(df, [group], "actual", "a_top", top)
-    both = with_top_fraction(both, [group], "pred", "p_top", top)
-    per = both.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a_top") & F.col("p_top")).alias("hits"),
-        F.count_if("a_top").alias("k")).where(F.col("n") >= 2)
+    both = with_top_fractions(df, {"a_top": ([group], "actual"), "p_top": ([group], "pred")}, top)
+    per = both.groupBy(group).agg(*_hits()).where(F.col("n") >= 2)
     return per.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"),
                    F.coalesce(F.sum("k"), F.lit(0)).alias("k")).select(
         "hits", "k", F.coalesce(F.try_divide("hits", "k"), F.lit(0.0)).alias("topk_hit_rate"))
 
 
+def _ranking(df: DataFrame, by: Sequence[str], top: float) -> DataFrame:
+    """by, spearman_rho, topk_hit_rate, pairwise_concordance and n for each value of ``by``."""
+    keys = [*by, "gw"]
+    rows = stored(df.select(*keys, "player_code", "actual", "pred"), "ranking")
+    tie = ("player_code", "asc")
+    ranked = scale.rank_cube(rows, {
+        "a": (keys, [("actual", "asc")]), "p": (keys, [("pred", "asc")]),
+        "at": (keys, [("actual", "desc"), tie]), "pt": (keys, [("pred", "desc"), tie])})
+    first = lambda p: F.col(f"{p}_before") < F.greatest(
+        F.lit(1), F.ceil(F.col(f"{p}_total") * float(top)))
+    per = (ranked.withColumns({"a_top": first("at"), "p_top": first("pt")}).groupBy(*keys)
+           .agg(X.correlation(_average_rank("a"), _average_rank("p")).alias("rho"), *_hits()))
+    counted = F.col("n") >= 2
+    whole = per.groupBy(*by).agg(
+        F.avg(F.when(counted, F.col("rho"))).alias("spearman_rho"),
+        F.coalesce(F.try_divide(F.sum(F.when(counted, F.col("hits"))),
+                                F.sum(F.when(counted, F.col("k")))), F.lit(0.0))
+        .alias("topk_hit_rate"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    agree = _concordance(rows, keys).groupBy(*by).agg(
+        F.avg("concordance").alias("pairwise_concordance"))
+    if by:
+        both = whole.join(agree, list(by), "left")
+    else:
+        both = whole.withColumn("pairwise_concordance", agree.scalar())
+    return both.select(*by, "spearman_rho", "topk_hit_rate", "pairwise_concordance", "n")
+
+
 def ranking_metrics(df: DataFrame, top: float = 0.10) -> DataFrame:
-    rho = spearman_by_period(df).agg(F.avg("rho")).scalar()
-    agree = concordance_by_period(df).agg(F.avg("concordance")).scalar()
-    hit = topk_hit_rate(df, top).select("topk_hit_rate").scalar()
-    return df.agg(F.count(F.lit(1)).alias("n")).select(
-        rho.alias("spearman_rho"), hit.alias("topk_hit_rate"),
-        agree.alias("pairwise_concordance"), "n")
+    return _ranking(df, [], top)
 
 
 def reference_rankings(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Ranking metrics of naive forecasts on the rows with an outcome; missing ones are 0."""
-    rows = df.where(F.col("actual").isNotNull())
-    out = None
-    for name, column in columns.items():
-        filled = rows.withColumn("pred", F.coalesce(F.col(column), F.lit(0.0)))
-        part = ranking_metrics(filled).select(F.lit(name).alias("name"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    arms = F.array(*[F.struct(F.lit(n).alias("name"),
+                              F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("pred"))
+                     for n, c in columns.items()])
+    long = df.where(F.col("actual").isNotNull()).select(
+        "gw", "player_code", "actual", F.explode(arms).alias("a")).select(
+        "gw", "player_code", "actual", "a.*")
+    return _ranking(long, ["name"], 0.10)
 
 
 # --- calibration ----------------------------------------------------------------
@@ -142,10 +187,11 @@ def calibration_metrics(df: DataFrame, bins: int = 10) -> DataFrame:
 
 def with_cohorts(df: DataFrame, top: float = 0.10, position: str | None = "position") -> DataFrame:
     """Flags ``top10`` and ``top10_by_position``, read from forecasts alone."""
-    out = with_top_fraction(df, ["gw"], "pred", "top10", top)
-    if position is None:
-        return out.withColumn("top10_by_position", F.lit(False))
-    return with_top_fraction(out, ["gw", position], "pred", "top10_by_position", top)
+    flags = {"top10": (["gw"], "pred")}
+    if position is not None:
+        flags["top10_by_position"] = (["gw", position], "pred")
+    out = with_top_fractions(df, flags, top)
+    return out if position is not None else out.withColumn("top10_by_position", F.lit(False))
 
 
 def by_cohort(df: DataFrame, cohorts: Mapping[str, Column],
@@ -162,14 +208,25 @@ def cohort_metrics(df: DataFrame, top: float = 0.10) -> DataFrame:
                                "top10_by_position": F.col("top10_by_position")})
 
 
+def top_fractions_by_average_rank(df: DataFrame, flags: Mapping[str, tuple[Sequence[str], str]],
+                                  top: float = 0.10) -> DataFrame:
+    """Flag rows with average descending rank at most ``n * top`` (no minimum of one).
+
+    ``flags`` maps a flag to its (keys, column); all are ranked in one pass.
+    """
+    ranked = scale.rank_cube(df, {f"__{name}": (keys, [(by, "desc")])
+                                  for name, (keys, by) in flags.items()})
+    for name in flags:
+        p = f"__{name}"
+        ranked = ranked.withColumn(
+            name, _average_rank(p) <= F.col(f"{p}_total") * float(top)).drop(
+            f"{p}_eq", f"{p}_before", f"{p}_total")
+    return ranked
+
+
 def top_fraction_by_average_rank(df: DataFrame, keys: Sequence[str], by: str, name: str,
                                  top: float = 0.10) -> DataFrame:
-    """Flag rows with average descending rank at most ``n * top`` (no minimum of one)."""
-    ranked = scale.with_value_ranks(df, keys, by, "__r")
-    above = F.col("__r_total") - F.col("__r_before") - F.col("__r_eq")
-    rank = above + (F.col("__r_eq") + 1) / 2.0
-    return ranked.withColumn(name, rank <= F.col("__r_total") * float(top)).drop(
-        "__r_before", "__r_eq", "__r_total")
+    return top_fractions_by_average_rank(df, {name: (keys, by)}, top)
 
 
 def residual_quantiles(fit: DataFrame, q: float, keys: Sequence[str] = ("position", "bucket")
@@ -188,8 +245,8 @@ def tail_comparison(fit: DataFrame, test: DataFrame, q: float,
     shared = whole.scalar()
     rows = test.join(grouped, list(keys), "left").withColumn(
         "residual_q", F.coalesce("residual_q", shared))
-    rows = top_fraction_by_average_rank(rows, ["gw"], "pred", "top10")
-    rows = top_fraction_by_average_rank(rows, ["gw", "position"], "pred", "top10_by_pos")
+    rows = top_fractions_by_average_rank(rows, {"top10": (["gw"], "pred"),
+                                                "top10_by_pos": (["gw", "position"], "pred")})
     arms = F.array(
         F.struct(F.lit("global").alias("arm"), (F.col("pred") + shared).alias("upper")),
         F.struct(F.lit("position+bucket").alias("arm"),

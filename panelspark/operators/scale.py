@@ -1,10 +1,12 @@
 """Order statistics that stay whole when one group holds most of the rows.
 
-A window over a group would sort that group in one task. Here the values of all groups are cut
-at the same approximate quantiles into ranges, about two for every shuffle partition. A range
-holds its share of all distinct (group, value) cells, so a window over (group, range) is small
-whichever group is large; totals of the lower ranges are added. There is one way for all sizes,
-it is a plan without jobs of its own, and results are exact: the cuts only deal out work.
+A window over a group would sort that group in one task. Here the distinct (group, value) cells
+are dealt into ranges of the whole order (group first, then value) and written once; a range
+holds its share of all cells, so a window over (group, range) is small whichever group is large,
+and the totals of the lower ranges of a group, at most one for each range, are added. Several
+columns and groupings go through one such pass (`rank_cube`). There is one way for all sizes, and
+results are exact: the ranges only deal out work. A pass writes its cells below the checkpoint
+folder, so what uses them often reads files instead of planning the same work again.
 """
 
 from __future__ import annotations
@@ -15,11 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import stored
 
-def _ranges(df: DataFrame) -> int:
-    """A power of two, at least the session's shuffle partitions and 16."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, 1 << partitions.bit_length())
+Order = Sequence[tuple[str, str]]  # (column, 'asc' | 'desc')
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -49,38 +49,29 @@ def _same(keys: Sequence[str]) -> Column:
                   [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
 
 
-def _with_range(cells: DataFrame, order: str) -> DataFrame:
-    """``__range``: number of cuts below the row's value, by binary search in the cuts."""
-    n = _ranges(cells)
-    levels = [i / n for i in range(1, n)]
-    cuts = cells.agg(F.sort_array(F.array_distinct(F.percentile_approx(
-        F.col(order).cast("double"), levels, 10 * n)))).scalar()
-    out = cells.withColumns({"__cuts": cuts, "__range": F.lit(0)})
-    step = n // 2
-    while step:
-        at = F.get("__cuts", F.col("__range") + (step - 1))
-        out = out.withColumn("__range", F.col("__range") + F.when(
-            at < F.col(order).cast("double"), step).otherwise(0))
-        step //= 2
-    return out.drop("__cuts")
+def _sorted_by(order: Order) -> list[Column]:
+    return [F.col(c).desc() if how == "desc" else F.col(c).asc() for c, how in order]
 
 
 def running_before(
     cells: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Order,
     sums: Mapping[str, str],
 ) -> DataFrame:
-    """Per row: the sum of each measure over the rows of its group with a lower ``order``.
+    """Per row: the sum of each measure over the rows of its group that come earlier in ``order``.
 
-    ``cells`` holds one row per (keys, order) and ``order`` is numeric and not null. ``sums``
-    maps a measure to a prefix; the result gains ``{prefix}_before`` and ``{prefix}_total``.
+    ``cells`` holds one row per (keys, order columns). ``sums`` maps a measure to a prefix; the
+    result gains ``{prefix}_before`` and ``{prefix}_total``.
     """
-    keys = list(keys)
+    by = _sorted_by([(order, "asc")] if isinstance(order, str) else order)
     # Keys in one struct, in which nulls are equal: joins then need no second shuffle.
     group = F.struct(*keys) if keys else F.lit(0)
-    tagged = _with_range(cells, order).withColumn("__group", group)
-    inside = Window.partitionBy("__group", "__range").orderBy(order).rowsBetween(
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = stored(cells.withColumn("__group", group)
+                    .repartitionByRange(n, "__group", *by)
+                    .withColumn("__range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("__group", "__range").orderBy(*by).rowsBetween(
         Window.unboundedPreceding, -1)
     local = tagged.withColumns({
         f"{p}_before": F.coalesce(F.sum(m).over(inside), F.lit(0).cast("bigint"))
@@ -113,6 +104,61 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return running_before(cells, keys, value, {"n_eq": "n"})
 
 
+def rank_cube(df: DataFrame, specs: Mapping[str, tuple[Sequence[str], Order]]) -> DataFrame:
+    """Every row with ``{prefix}_eq``, ``{prefix}_before`` and ``{prefix}_total`` of each spec.
+
+    A spec is (keys, order): rows are placed within the group of its keys by numeric columns,
+    ties going on to the next one. ``_eq`` counts the rows with the same place, ``_before`` those
+    ahead, ``_total`` the rows of the group that have all order columns; a row that lacks one has
+    null in all three. All specs are ranked in one pass over one unpivoted relation. The rows are
+    read twice, so what they derive from is worked out once and written.
+    """
+    df = stored(df, "rows")
+    types = dict(df.dtypes)
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    width = max(len(order) for _, order in specs.values())
+
+    def key(keys: Sequence[str]) -> Column:
+        return F.array(*[F.col(k).cast("string") for k in keys]).cast("array<string>")
+
+    def marks(order: Order) -> list[Column]:
+        """Two numbers for a column, of which one ascending order serves all specs.
+
+        A double, negated for a descending column, and of whole numbers all digits besides.
+        """
+        out = []
+        for c, how in order:
+            value, digits = F.col(c).cast("double") + F.lit(0.0), F.lit(0).cast("bigint")
+            if types[c] in whole:
+                digits = F.col(c).cast("bigint")
+            out += [-value, F.bitwise_not(digits)] if how == "desc" else [value, digits]
+        return out + [F.lit(0.0), F.lit(0).cast("bigint")] * (width - len(order))
+
+    names = [f"__o{i}" for i in range(2 * width)]
+    arms = F.array(*[
+        F.struct(F.lit(i).alias("__spec"), key(keys).alias("__keys"),
+                 *[c.alias(n) for n, c in zip(names, marks(order), strict=True)])
+        for i, (keys, order) in enumerate(specs.values())])
+    long = df.select(F.explode(arms).alias("a")).select("a.*")
+    for n in names:
+        long = long.where(F.col(n).isNotNull())
+    cells = long.groupBy("__spec", "__keys", *names).agg(F.count(F.lit(1)).alias("__eq"))
+    ranked = stored(running_before(cells, ["__spec", "__keys"], [(n, "asc") for n in names],
+                                   {"__eq": "__n"}), "ranks")
+    out = df
+    for i, (prefix, (keys, order)) in enumerate(specs.items()):
+        side = ranked.where(F.col("__spec") == i).select(
+            F.struct("__keys", *names).alias("__cell"), F.col("__eq").alias(f"{prefix}_eq"),
+            F.col("__n_before").alias(f"{prefix}_before"),
+            F.col("__n_total").alias(f"{prefix}_total"))
+        own = F.struct(key(keys).alias("__keys"),
+                       *[c.alias(n) for n, c in zip(names, marks(order), strict=True)])
+        # The right side is unique per cell; adaptive execution splits a large left partition
+        # without copying more than that one row.
+        out = out.withColumn("__cell", own).join(side, "__cell", "left").drop("__cell")
+    return out
+
+
 def average_rank(descending: bool = False) -> Column:
     """Average rank from the columns of :func:`value_ranks`."""
     below = (F.col("n_total") - F.col("n_before") - F.col("n_eq")) if descending \
@@ -126,38 +172,16 @@ def with_value_ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str
     ``{prefix}_total`` counts the rows of the group with a value. A row without a value has
     null in all three.
     """
-    keys = list(keys)
-    ranks = value_ranks(df, keys, value).select(
-        *[F.col(k).alias(f"__{k}") for k in [*keys, value]],
-        F.col("n_eq").alias(f"{prefix}_eq"), F.col("n_before").alias(f"{prefix}_before"),
-        F.col("n_total").alias(f"{prefix}_total"))
-    # The right side is unique per (keys, value); adaptive execution splits a large
-    # left partition without copying more than that one row.
-    return df.join(ranks, _same([*keys, value]), "left").drop(
-        *[f"__{k}" for k in [*keys, value]])
-
-
-def row_positions(df: DataFrame, keys: Sequence[str],
-                  order: Sequence[tuple[str, str]], name: str) -> DataFrame:
+    return rank_cube(df, {prefix: (keys, [(value, "asc")])})
+
+
+def row_positions(df: DataFrame, keys: Sequence[str], order: Order, name: str) -> DataFrame:
     """Zero-based position of every row in its group.
 
-    ``order`` lists ``(column, 'asc' | 'desc')`` with non-null numeric columns and ends
-    in a column that is unique within the group. Rows are placed one order column at a time:
-    rows with a better value come first, ties go on to the next one.
+    ``order`` lists numeric columns without nulls and ends in one that is unique within the group.
     """
-    out = df.withColumn(name, F.lit(0).cast("bigint"))
-    part = list(keys)
-    for column, how in order:
-        ranks = value_ranks(df, part, column)
-        ahead = (F.col("n_total") - F.col("n_before") - F.col("n_eq")) if how == "desc" \
-            else F.col("n_before")
-        part = [*part, column]
-        ranks = ranks.select(*[F.col(k).alias(f"__{k}") for k in part],
-                             ahead.alias("__ahead"))
-        out = (out.join(ranks, _same(part), "left")
-               .withColumn(name, F.col(name) + F.coalesce("__ahead", F.lit(0)))
-               .drop("__ahead", *[f"__{k}" for k in part]))
-    return out
+    return (rank_cube(df, {"__place": (keys, order)})
+            .withColumnRenamed("__place_before", name).drop("__place_eq", "__place_total"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8,
@@ -55,3 +56,16 @@ def use_checkpoint_dir(spark: SparkSession) -> str | None:
     if not context.getCheckpointDir() and context.master.startswith("local"):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
     return context.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written once as Parquet in the shared folder and read again.
+
+    Ends the lineage: what is built on it scans the files, however often it uses them.
+    """
+    base = use_checkpoint_dir(df.sparkSession)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{base.rstrip('/')}/panel-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
