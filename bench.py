@@ -20,7 +20,7 @@ HEADLINE = (
     "ranking_metrics", "calibration", "concordance", "cohorts", "tail_comparison",
     "h2h_record", "h2h_dist", "weaknesses", "entity_pair_corr", "shared_fixture_corr",
     "residual_structure", "quantile_vectors", "quantile_moments", "percentile_in_forecast",
-    "sampled_totals", "best_xi", "settlement", "league_table", "ownership_latest",
+    "best_xi", "settlement", "league_table", "ownership_latest",
     "explorer", "best_swap", "gbt_forecast",
 )
 

@@ -1,4 +1,4 @@
-"""Squads against each other: totals, round-robin records, sampled distributions."""
+"""Squads against each other: totals, round-robin records, expected records."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions import quantiles as Q
 from panelspark.functions import scalar as X
 from panelspark.operators import scale
 
@@ -134,26 +133,6 @@ def best_team(table: DataFrame, by: str) -> DataFrame:
     return table.orderBy(F.col(by).desc_nulls_last(), "team_id").limit(1)
 
 
-def sampled_totals(basket: DataFrame, vectors: DataFrame, *, n_samples: int = 100,
-                   seed: int = 0) -> DataFrame:
-    """Mean and population spread of sampled squad totals.
-
-    Each draw's uniform number is a hash of (seed, squad, period, member, draw), so a
-    retried task draws the same numbers. Draws are summed before the shuffle.
-    """
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "team_id", "gw", "player_code", "draw"),
-                     F.lit(1 << 53)) / float(1 << 53)
-    draws = (
-        basket.select("team_id", "player_code").join(
-            vectors.select("player_code", "gw", "vector"), "player_code")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-        .withColumn("u", uniform)
-        .groupBy("team_id", "gw", "draw")
-        .agg(F.sum(Q.inverse_cdf("vector", "u")).alias("total")))
-    return draws.groupBy("team_id", "gw").agg(
-        F.avg("total").alias("sample_mean"), F.stddev_pop("total").alias("sample_std"))
-
-
 def distinct_squads(basket: DataFrame) -> DataFrame:
     """Number of different member sets, compared by size and two order-free hash sums."""
     members = basket.select("team_id", "player_code").distinct()

@@ -110,14 +110,6 @@ def distinct_squads(r):
         (F.col("l_partkey") % 50).alias("player_code")))
 
 
-@query()
-def sampled_totals(r):
-    years = r.per_gw().select("player_code", "gw")
-    vectors = r.vectors().join(years, "player_code")
-    return rounded(H.sampled_totals(r.basket(), vectors, n_samples=10, seed=7),
-                   "sample_mean", "sample_std")
-
-
 # --- with and without, pair covariances ---------------------------------------------
 
 @query(f"""
@@ -185,18 +177,26 @@ def entity_variance(r):
     met AS (SELECT DISTINCT year(o_orderdate) AS gw,
                    least(o_custkey % 25, o_orderkey % 25) + 1 AS a,
                    greatest(o_custkey % 25, o_orderkey % 25) + 1 AS b
-            FROM orders WHERE o_orderkey % 40 = 0),
+            FROM orders),
+    var AS (SELECT player_code, coalesce(var_samp(resid),
+                (SELECT var_samp(resid) FROM residuals)) AS sig2 FROM residuals GROUP BY 1),
+    alpha AS (SELECT avg(a.resid * b.resid) AS alpha FROM residuals a JOIN residuals b
+        ON a.gw = b.gw AND a.team_code = b.team_code AND a.player_code < b.player_code),
+    beta AS (SELECT avg(a.resid * b.resid) AS beta FROM residuals a JOIN residuals b
+        ON a.gw = b.gw AND a.opponent_team_code = b.team_code
+           AND a.team_code = b.opponent_team_code AND a.player_code < b.player_code),
     pairs AS (SELECT x.squad, x.gw, count(*) FILTER (x.team_code = y.team_code) AS same,
                      count(*) FILTER (EXISTS (SELECT 1 FROM met WHERE met.gw = x.gw
                          AND a = least(x.team_code, y.team_code)
                          AND b = greatest(x.team_code, y.team_code))) AS opp
               FROM lineup x JOIN lineup y ON x.squad = y.squad AND x.gw = y.gw
                    AND x.player_code < y.player_code GROUP BY 1, 2),
-    base AS (SELECT squad, gw, sum(expected) AS e, sum(actual) AS act, 9.0::DOUBLE * count(*) AS v
-             FROM lineup GROUP BY 1, 2),
+    base AS (SELECT squad, gw, sum(expected) AS e, sum(actual) AS act,
+                    sum(coalesce(sig2, (SELECT var_samp(resid) FROM residuals))) AS v
+             FROM lineup LEFT JOIN var USING (player_code) GROUP BY 1, 2),
     full_rows AS (SELECT base.*, coalesce(same, 0) AS same, coalesce(opp, 0) AS opp,
-                    v + 2 * 0.5::DOUBLE * coalesce(same, 0) - 2 * 0.25::DOUBLE * coalesce(opp, 0) AS vc
-                  FROM base LEFT JOIN pairs USING (squad, gw))
+                    v + 2 * alpha * coalesce(same, 0) - 2 * beta * coalesce(opp, 0) AS vc
+                  FROM base LEFT JOIN pairs USING (squad, gw) CROSS JOIN alpha CROSS JOIN beta)
     SELECT squad, gw, same, opp, {r6("vc")} AS var_cov, {r6("(act - e) / sqrt(v)")} AS z_iid,
            {r6("(act - e) / sqrt(vc)")} AS z_cov
     FROM full_rows WHERE v > 1e-9 AND vc > 1e-9""")
@@ -205,10 +205,9 @@ def squad_variance(r):
                .select(F.col("entry_id").alias("squad"), "gw", "player_code", "team_code",
                        F.coalesce("expected_points", F.lit(0.0)).alias("expected"),
                        F.col("points").alias("actual")))
-    structure = r.spark.range(1).select(F.lit(9.0).alias("pooled"), F.lit(0.5).alias("alpha"),
-                                        F.lit(0.25).alias("beta"))
-    variance = r.elements().select("player_code", F.lit(9.0).alias("sig2"))
-    matches = r.t("orders").where(F.col("o_orderkey") % 40 == 0).select(
+    structure = CO.residual_structure(r.residuals())
+    variance = CO.entity_variance(r.residuals())
+    matches = r.t("orders").select(
         F.year("o_orderdate").cast("bigint").alias("gw"),
         (F.col("o_custkey") % 25 + 1).alias("home_team"),
         (F.col("o_orderkey") % 25 + 1).alias("away_team"))
@@ -512,19 +511,31 @@ _GRID_TOP = "greatest(vector[9] * 1.05, vector[5] + 1.0, 5.0)"
 
 
 @query(f"""
-    WITH g AS (SELECT player_code, vector, i, i * {_GRID_TOP} / 17 AS t
-               FROM vectors CROSS JOIN (SELECT unnest(range(0, 18)) AS i))
+    WITH s AS (SELECT player_code, list_transform(vector, lambda x: x / 997.0) AS vector
+               FROM vectors),
+    g AS (SELECT player_code, vector, i, round_even(i * {_GRID_TOP} / 79, 3) AS t
+          FROM s CROSS JOIN (SELECT unnest(range(0, 80)) AS i))
     SELECT player_code, CAST(i AS INTEGER) AS i, {r6("t")} AS x,
            {r6(_below_sql("t"))} AS cdf FROM g""")
 def cdf_grid(r):
-    """Eighteen points per vector; the grid here keeps full precision."""
-    top = F.greatest(F.element_at("vector", 9) * 1.05, F.element_at("vector", 5) + 1.0,
-                     F.lit(5.0))
-    rows = r.vectors().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(17))))
-    rows = rows.withColumn("t", F.col("i") * top / 17)
-    out = rows.select("player_code", "i", F.col("t").alias("x"),
-                      Q.probability_below("vector", "t").alias("cdf"))
-    return rounded(out, "x", "cdf")
+    """All eighty points of every vector."""
+    rows = r.vectors().withColumn("vector", F.transform("vector", lambda x: x / 997.0))
+    rows = rows.withColumn("xs", Q.grid("vector", F.element_at("vector", 5)))
+    rows = rows.withColumn("cdfs", Q.grid_cdf("vector", "xs"))
+    out = rows.select("player_code", F.posexplode(F.arrays_zip("xs", "cdfs")).alias("i", "z"))
+    return rounded(out.select("player_code", "i", F.col("z.xs").alias("x"),
+                              F.col("z.cdfs").alias("cdf")), "x", "cdf")
+
+
+_TAILS = ("0", "20000", "35000.5", "60000")
+
+
+@query("\n    UNION ALL ".join(f"""SELECT player_code, '{t}' AS threshold, round_even({_below_sql(t)}, 4) AS p_le,
+           round_even(1.0 - {_below_sql(t)}, 4) AS p_gt FROM vectors""" for t in _TAILS))
+def tail_table(r):
+    cells = Q.tail_table("vector", ", ".join(_TAILS))
+    return r.vectors().select("player_code", F.explode(cells).alias("c")).select(
+        "player_code", "c.*")
 
 
 @query(f"""
@@ -547,20 +558,20 @@ def step_cdf(r):
     WITH a AS (SELECT player_code, gw, total_points AS actual_points FROM actuals),
     b AS (SELECT a.*, {_below_sql("actual_points * 500.0")} AS below
           FROM a LEFT JOIN vectors USING (player_code))
-    SELECT player_code, gw, round_even(below * 100.0, 1) AS percentile, CASE
-           WHEN below >= 0.95 AND actual_points * 500.0 >= 3 THEN 'beat_95th'
+    SELECT player_code, gw, round_even(below * 100.0, 1) AS percentile,
+           round_even(1.0 - below, 4) AS p_exceed, CASE WHEN below >= 0.95 AND actual_points * 500.0 >= 3 THEN 'beat_95th'
            WHEN below <= 0.05 THEN 'below_5th' END AS surprise FROM b""")
 def percentile_in_forecast(r):
     rows = r.actuals().select("player_code", "gw", (F.col("total_points") * 500.0).alias("actual_points"))
     years = r.actuals().select("player_code", "gw")
     placed = SK.percentile_of_actual(rows, r.vectors().join(years, "player_code"))
-    return placed.select("player_code", "gw", "percentile", "surprise")
+    return placed.select("player_code", "gw", "percentile", "p_exceed", "surprise")
 
 
 @query(f"""
     WITH v AS (SELECT player_code, position,
                       list_transform(vector, lambda x: x / 997.0) AS vector
-               FROM vectors JOIN elements USING (player_code) WHERE player_code % 4 <> 0),
+               FROM vectors JOIN elements USING (player_code)),
     p AS (SELECT position, {", ".join(f"avg(vector[{i + 1}]) AS p{i}" for i in range(9))}
           FROM v GROUP BY 1),
     e AS (SELECT player_code, position, value AS expected FROM pool)
@@ -569,7 +580,7 @@ def percentile_in_forecast(r):
                       + f" AS v{i}" for i in range(9))}
     FROM e LEFT JOIN v USING (player_code) LEFT JOIN p ON p.position = e.position""")
 def mean_vectors(r):
-    known = r.vectors().where(F.col("player_code") % 4 != 0).join(
+    known = r.vectors().join(
         r.elements().select("player_code", "position"), "player_code").withColumn(
         "vector", F.transform("vector", lambda x: x / 997.0))
     players = r.pool().select("player_code", "position", F.col("value").alias("expected"))

@@ -313,8 +313,9 @@ def team_summary_settled(r):
 
 
 def _backtest(r):
-    runs = (r.picks().where(F.col("gw") == 1996)
-            .select(F.col("entry_id").alias("run"), "gw", F.col("element").alias("player_code"),
+    """Every squad of every year, followed for three years."""
+    runs = (r.picks()
+            .select((F.col("entry_id") * 10000 + F.col("gw")).alias("run"), "gw", F.col("element").alias("player_code"),
                     F.col("position").alias("slot"), "is_captain",
                     F.col("is_vice_captain").alias("is_vice"))
             .join(r.elements().select("player_code", "position"), "player_code"))
@@ -322,13 +323,13 @@ def _backtest(r):
 
 
 _RUNS = """
-    base AS (SELECT entry_id, element AS player_code, position AS slot, is_captain,
-                    is_vice_captain AS is_vice FROM picks WHERE gw = 1996),
-    weekly AS (SELECT b.*, w.gw, e.position, coalesce(a.minutes, 0) > 0 AS played,
+    base AS (SELECT entry_id * 10000 + gw AS entry_id, gw AS start, element AS player_code,
+                    position AS slot, is_captain, is_vice_captain AS is_vice FROM picks),
+    weekly AS (SELECT b.*, b.start + w.k AS gw, e.position, coalesce(a.minutes, 0) > 0 AS played,
                       coalesce(a.total_points, 0.0) AS points
-               FROM base b CROSS JOIN (SELECT unnest([1996, 1997, 1998])::BIGINT AS gw) w
+               FROM base b CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS k) w
                JOIN elements e ON e.player_code = b.player_code
-               LEFT JOIN actuals a ON a.player_code = b.player_code AND a.gw = w.gw),
+               LEFT JOIN actuals a ON a.player_code = b.player_code AND a.gw = b.start + w.k),
     """
 _TOTALS = """,
     hit AS (SELECT s.entry_id, s.gw, sum(coalesce(expected_points, 0.0)
@@ -345,15 +346,16 @@ _TOTALS = """,
     runs AS (SELECT entry_id AS run, count(*) AS weeks, sum(gw_total) AS total_actual,
                     sum(pred) AS total_predicted, sum(pred) - sum(gw_total) AS gap,
                     CAST(sum(subs) AS BIGINT) AS substitutions,
-                    CAST(sum(dnps) AS BIGINT) AS dnps, count(captain_doubled) AS captain_weeks
+                    CAST(sum(dnps) AS BIGINT) AS dnps, count(captain_doubled) AS captain_weeks,
+                    max_by(gw, (round(gap, 6), -gw)) AS worst_gw
              FROM wk GROUP BY 1)"""
 
 
 @query("WITH " + _RUNS.strip() + _settled_sql("weekly") + _TOTALS
        + f" SELECT run, weeks, total_actual, {r6('total_predicted')} AS total_predicted,"
-         f" {r6('gap')} AS gap, substitutions, dnps, captain_weeks FROM runs")
+         f" {r6('gap')} AS gap, substitutions, dnps, captain_weeks, worst_gw FROM runs")
 def backtest(r):
-    out = SQ.run_totals(_backtest(r)).drop("worst_gw")
+    out = SQ.run_totals(rounded(_backtest(r), "gap"))
     return rounded(out, "total_predicted", "gap")
 
 
@@ -368,7 +370,7 @@ def backtest_candidates(r):
     WITH j AS (SELECT squad, vector, CASE WHEN slot = 1 THEN 2 ELSE 1 END AS w
                FROM members LEFT JOIN (
                    SELECT player_code, list_transform(vector, lambda v: floor(v)) AS vector
-                   FROM vectors WHERE player_code % 9 <> 0)
+                   FROM vectors)
                USING (player_code) WHERE slot <= 4),
     s AS (SELECT squad, bool_and(vector IS NOT NULL) AS ok, """
        + ", ".join(f"sum(vector[{i + 1}] * w) AS s{i}" for i in range(9))
@@ -377,7 +379,7 @@ def backtest_candidates(r):
 def lineup_vectors(r):
     starters = r.members().where(F.col("slot") <= XI).withColumn("is_captain",
                                                                  F.col("slot") == 1)
-    known = r.vectors().where(F.col("player_code") % 9 != 0).withColumn(
+    known = r.vectors().withColumn(
         "vector", F.transform("vector", lambda v: F.floor(v).cast("double")))
     return rounded_vector(SQ.lineup_vectors(starters, known), "xi_quantiles", "squad",
                           labels=[f"v{i}" for i in range(9)])
@@ -557,18 +559,19 @@ def candidate_counts(r):
 
 
 @query("""
-    WITH e AS (SELECT max(entry_id) AS e FROM picks),
-    s AS (SELECT m.* FROM members m, e WHERE m.squad LIKE e || '-%')
-    SELECT s.squad, s.player_code AS out_code, p.player_code AS in_code, s.position,
-           s.price_tenths AS out_price, p.price_tenths AS in_price
-    FROM s JOIN pool p ON p.position = s.position AND p.price_tenths <= s.price_tenths + 2
-    WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.squad = s.squad
-                      AND o.player_code = p.player_code)""")
+    SELECT squad, out_code, position, out_price, candidates, in_code, in_price, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT m.squad, m.player_code AS out_code, m.position, m.price_tenths AS out_price,
+                 p.player_code AS in_code, p.price_tenths AS in_price,
+                 count(*) OVER (PARTITION BY m.squad, m.player_code) AS candidates,
+                 row_number() OVER (PARTITION BY m.squad, m.player_code
+                     ORDER BY coalesce(p.value, 0.0) DESC, p.player_code) AS rank
+          FROM members m JOIN pool p ON p.position = m.position
+               AND p.price_tenths <= m.price_tenths + 2
+          WHERE NOT EXISTS (SELECT 1 FROM members o WHERE o.squad = m.squad
+                            AND o.player_code = p.player_code)) WHERE rank <= 5""")
 def swap_candidates(r):
-    """The full option list of one entry's squads."""
-    top = r.picks().agg(F.max("entry_id")).scalar()
-    mine = r.members().where(F.substring_index("squad", "-", 1).cast("bigint") == top)
-    return SW.swap_candidates(mine, r.pool(), bank=2)
+    """Option lists of all squads: exact counts and the five best candidates of each member."""
+    return SW.swap_options(r.members(), r.pool(), top=5, bank=2)
 
 
 _BEST = f"""
@@ -592,9 +595,121 @@ def best_swap(r):
     return rounded(out, "gain")
 
 
-@query()
-def plan_options(r):
-    return SW.plan_options(r.members(), r.pool(), top=2, bank=3, formations=FORMATIONS, **SWAP)
+def _pick(f, i: int) -> str:
+    return f"{('gkp', 'def', 'mid', 'fwd')[i]}[:{f[i]}]"
+
+
+def _formation_sql(f) -> str:
+    """Score of a formation and the same with its best starter twice, null if it does not fit."""
+    lists = [("gkp", "def", "mid", "fwd")[i] for i in range(4) if f[i]]
+    fits = " AND ".join(f"len({('gkp', 'def', 'mid', 'fwd')[i]}) >= {f[i]}" for i in range(4) if f[i])
+    score = " + ".join(f"list_sum({_pick(f, i)})" for i in range(4) if f[i])
+    star = ", ".join(f"{n}[1]" for n in lists)
+    return f"CASE WHEN {fits} THEN {{'s': {score}, 't': {score} + greatest({star})}} END"
+
+
+def _even(c: str) -> str:
+    """Four decimals rounded to three, an exact half to the even side."""
+    m = f"CAST(round({c} * 10000) AS BIGINT)"
+    return (f"({m} // 10 + CASE WHEN {m} % 10 > 5 OR ({m} % 10 = 5 AND ({m} // 10) % 2 = 1)"
+            f" THEN 1 ELSE 0 END) / 1000.0")
+
+
+_PLAN = f"""
+    WITH own AS (SELECT element AS player_code, count(DISTINCT entry_id)
+                     / (SELECT count(DISTINCT entry_id) FROM picks) AS own FROM picks GROUP BY 1),
+    w AS (SELECT pool.* EXCLUDE (value), value AS model, own, value * (1.0 - coalesce(own, 0.0)) AS v,
+                 value * 0.5 AS ep FROM pool LEFT JOIN own USING (player_code)),
+    ms AS (SELECT m.squad, w.* FROM members m JOIN w USING (player_code)),
+    sell AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY squad ORDER BY model, player_code)
+                 AS rk, count(*) OVER (PARTITION BY squad) AS n FROM ms) WHERE rk <= ceil(n * 0.4)),
+    cl AS (SELECT squad, team_code, count(*) AS c FROM ms GROUP BY 1, 2),
+    moves AS (SELECT * FROM (
+        SELECT s.squad, s.player_code AS o, p.player_code AS i, s.position, s.v AS vo, p.v AS vi,
+               row_number() OVER (PARTITION BY s.squad, s.player_code ORDER BY p.v DESC, p.player_code) AS rk
+        FROM sell s JOIN w p ON p.position = s.position AND p.price_tenths <= s.price_tenths + 3
+        LEFT JOIN cl ON cl.squad = s.squad AND cl.team_code = p.team_code
+        WHERE (p.team_code = s.team_code OR coalesce(c, 0) + 1 <= 2)
+          AND NOT EXISTS (SELECT 1 FROM ms x WHERE x.squad = s.squad AND x.player_code = p.player_code))
+        WHERE rk <= 10),
+    opt AS (SELECT DISTINCT squad, NULL::BIGINT AS o, NULL::BIGINT AS i, NULL AS position,
+                   NULL::DOUBLE AS vo, NULL::DOUBLE AS vi FROM ms
+            UNION ALL SELECT squad, o, i, position, vo, vi FROM moves),
+    planned AS (SELECT t.squad, t.o, t.i, t.vi, m.player_code, m.position, m.team_code, m.v
+                FROM opt t JOIN ms m ON m.squad = t.squad AND m.player_code IS DISTINCT FROM t.o
+                UNION ALL SELECT t.squad, t.o, t.i, t.vi, w.player_code, w.position, w.team_code, w.v
+                FROM opt t JOIN w ON w.player_code = t.i),
+    lists AS (SELECT squad, o, i, any_value(vi) AS vi, {", ".join(
+        f"coalesce(list(v ORDER BY v DESC) FILTER (position = '{p}'), []) AS {p.lower()}"
+        for p in ("GKP", "DEF", "MID", "FWD"))} FROM planned GROUP BY 1, 2, 3),
+    rated AS (SELECT squad, o, i, vi, round_even(list_sort(list_filter(
+                   [{", ".join(_formation_sql(f) for f in FORMATIONS)}],
+                   lambda z: z IS NOT NULL), 'DESC')[1].t, 3) AS score FROM lists),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY squad ORDER BY score DESC, o IS NOT NULL,
+                   vi DESC NULLS LAST, o, i) AS rank FROM rated WHERE score IS NOT NULL),
+    best AS (SELECT r.*, h.score AS hold FROM ranked r JOIN rated h ON h.squad = r.squad
+             AND h.o IS NULL WHERE rank <= 10),
+    kk AS (SELECT p.*, b.rank, row_number() OVER (PARTITION BY b.squad, b.rank, p.position
+               ORDER BY v DESC, p.player_code) AS rk
+           FROM planned p JOIN best b ON b.squad = p.squad AND b.o IS NOT DISTINCT FROM p.o
+                AND b.i IS NOT DISTINCT FROM p.i),
+    f(n, g, d, m, a) AS (VALUES {_FORMATION_ROWS}),
+    sums AS (SELECT squad, rank, n, g, d, m, a, sum(v) AS score, count(*) AS k
+             FROM kk JOIN f ON rk <= CASE position WHEN 'GKP' THEN g WHEN 'DEF' THEN d
+                                     WHEN 'MID' THEN m ELSE a END GROUP BY ALL),
+    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY squad, rank
+                 ORDER BY round(score, 9) DESC, n) AS place FROM sums WHERE k = 4) WHERE place = 1),
+    placed AS (SELECT kk.*, rk <= CASE position WHEN 'GKP' THEN g WHEN 'DEF' THEN d
+                   WHEN 'MID' THEN m ELSE a END AS starts FROM kk JOIN chosen USING (squad, rank)),
+    stars AS (SELECT *, row_number() OVER (PARTITION BY squad, rank ORDER BY v DESC, player_code) AS z
+              FROM placed WHERE starts),
+    cap AS (SELECT squad, rank, player_code AS captain, team_code AS club FROM stars WHERE z = 1),
+    vice AS (SELECT s.squad, s.rank, coalesce(
+                 min_by(s.player_code, z) FILTER (s.team_code IS DISTINCT FROM club),
+                 max(s.player_code) FILTER (z = 2)) AS vice
+             FROM stars s JOIN cap USING (squad, rank) GROUP BY 1, 2),
+    q AS (SELECT player_code, list_transform(vector, lambda x: floor(x)) AS vector FROM vectors),
+    shape AS (SELECT s.squad, s.rank, bool_and(vector IS NOT NULL) AS ok, [{", ".join(
+        f"sum(vector[{k}] * CASE WHEN z = 1 THEN 2 ELSE 1 END)" for k in range(1, 10))}] AS xi,
+        list(s.player_code ORDER BY s.player_code) AS starters
+        FROM stars s LEFT JOIN q USING (player_code) GROUP BY 1, 2),
+    bench AS (SELECT squad, rank, list(player_code ORDER BY position <> 'GKP', v DESC, player_code) AS bench
+              FROM placed WHERE NOT starts GROUP BY 1, 2),
+    held AS (SELECT b.squad, xi AS hxi, ok AS hok FROM best b JOIN shape USING (squad, rank) WHERE o IS NULL)
+    SELECT b.squad, CAST(b.rank AS INTEGER) AS rank, o AS transfer_out_code, i AS transfer_in_code,
+           x.web_name AS transfer_out, y.web_name AS transfer_in, score AS expected_score,
+           round_even(score - hold, 3) AS expected_delta,
+           CASE WHEN o IS NOT NULL THEN round_even(coalesce(x.own, 0.0), 3) END AS ownership_out,
+           CASE WHEN i IS NOT NULL THEN round_even(coalesce(y.own, 0.0), 3) END AS ownership_in,
+           {_even("x.model")} AS model_expected_out, {_even("y.model")} AS model_expected_in,
+           x.ep AS official_ep_next_out, y.ep AS official_ep_next_in, captain, vice AS vice_captain,
+           array_to_string(starters, ',') AS starters, coalesce(array_to_string(bench, ','), '') AS bench,
+           CASE WHEN ok THEN xi[3] END AS xi_q10, CASE WHEN ok THEN xi[5] END AS xi_q50,
+           CASE WHEN ok THEN xi[7] END AS xi_q90,
+           CASE WHEN ok AND hok THEN round_even(list_sum(list_transform(range(0, 81), lambda c:
+               CASE WHEN xi[c // 9 + 1] > hxi[c % 9 + 1] THEN 1.0 WHEN xi[c // 9 + 1] = hxi[c % 9 + 1]
+               THEN 0.5 ELSE 0.0 END)) / 81.0, 4) END AS prob_beat_hold
+    FROM best b JOIN shape USING (squad, rank) JOIN cap USING (squad, rank) JOIN vice USING (squad, rank)
+    LEFT JOIN bench USING (squad, rank) LEFT JOIN held ON held.squad = b.squad
+    LEFT JOIN w x ON x.player_code = o LEFT JOIN w y ON y.player_code = i"""
+
+
+@query(_PLAN)
+def week_plan(r):
+    """Plans of every squad, ten each, with line-up, bench and distribution."""
+    pool = r.pool().withColumn("ep_next", F.col("value") * 0.5)
+    own = L.ownership_all(r.picks()).withColumnRenamed("element", "player_code")
+    vectors = r.vectors().withColumn("vector", F.transform(
+        "vector", lambda v: F.floor(v).cast("double")))
+    out = SW.week_plan(r.members(), pool, own, vectors, bank=3, formations=FORMATIONS, **SWAP)
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    return out.select(
+        "squad", "rank", "transfer_out_code", "transfer_in_code", "transfer_out", "transfer_in",
+        "expected_score", "expected_delta", "ownership_out", "ownership_in",
+        "model_expected_out", "model_expected_in", "official_ep_next_out",
+        "official_ep_next_in", "captain", "vice_captain", text("starters"), text("bench"),
+        "xi_q10", "xi_q50", "xi_q90", "prob_beat_hold")
+
 
 
 @query("""

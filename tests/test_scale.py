@@ -46,9 +46,39 @@ def test_value_ranks(spark):
 def test_large_groups_are_cut(spark):
     """No (group, range) window holds much more than its share of the cells."""
     cells = frame(spark, rows(2, 4000)).withColumn("u", F.col("v") + F.col("id") / 1e6)
-    counts = scale._with_range(cells, "u").groupBy("g", "__range").count().collect()
-    assert len({r["__range"] for r in counts}) == scale._ranges(cells) == 16
-    assert max(r["count"] for r in counts if r.g == "hot") <= 1.3 * 4000 / 16
+    seen = {}
+    keep = scale.stored
+    scale.stored = lambda df, name: seen.setdefault(name, keep(df, name))
+    try:
+        scale.running_before(cells.withColumn("one", F.lit(1)), ["g"], "u", {"one": "n"}).count()
+    finally:
+        scale.stored = keep
+    counts = seen["ranges"].groupBy("g", "__range").count().collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({r["__range"] for r in counts}) == parts
+    assert max(r["count"] for r in counts if r.g == "hot") <= 1.5 * len(rows(2, 4000)) / parts
+
+
+def test_cube_places_by_several_columns(spark):
+    """Ties, nulls, both directions and keys beyond double precision, all specs in one pass."""
+    big = 1 << 60
+    data = [("x", 2.0, big + 1), ("x", 2.0, big), ("x", -0.0, 5), ("x", 0.0, 4), ("x", None, 1),
+            ("y", 1.0, 7), (None, 1.0, 8), (None, 3.0, None)]
+    df = spark.createDataFrame(data, "g string, v double, k long")
+    got = scale.rank_cube(df, {"a": (["g"], [("v", "desc"), ("k", "asc")]),
+                               "b": ([], [("v", "asc")])}).collect()
+    assert len(got) == len(data)
+    for r in got:
+        own = [d for d in data if d[0] == r.g and d[1] is not None and d[2] is not None]
+        every = [d[1] for d in data if d[1] is not None]
+        if r.v is None or r.k is None:
+            assert (r.a_before, r.a_eq, r.a_total) == (None,) * 3
+        else:
+            ahead = sum((-d[1], d[2]) < (-r.v, r.k) for d in own)
+            assert (r.a_before, r.a_eq, r.a_total) == (ahead, 1, len(own))
+        if r.v is not None:
+            assert (r.b_before, r.b_eq, r.b_total) == (
+                sum(x < r.v for x in every), every.count(r.v), len(every))
 
 
 def test_rows_without_a_value(spark):

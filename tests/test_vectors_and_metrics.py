@@ -136,20 +136,6 @@ def test_expected_record(spark, block):
         assert r.avg_edge == pytest.approx(np.mean([a[0] - b[0] for a, b in met]), abs=1e-9)
 
 
-def test_sampled_totals_repeat_and_agree(spark):
-    basket = spark.createDataFrame([(1, c) for c in range(11)], "team_id long, player_code long")
-    vec = [float(v) for v in (0, 1, 1, 2, 3, 5, 8, 9, 12)]
-    vectors = spark.createDataFrame([(c, 1, vec) for c in range(11)],
-                                    "player_code long, gw long, vector array<double>")
-    run = lambda df, seed=3: H.sampled_totals(df, vectors, n_samples=2000, seed=seed).first()
-    a, b = run(basket), run(basket.repartition(7))
-    assert a.sample_mean == pytest.approx(b.sample_mean, abs=1e-9)
-    draws = np.interp(np.random.default_rng(0).uniform(size=200_000), QS, vec)
-    assert a.sample_mean == pytest.approx(11 * draws.mean(), rel=0.02)
-    assert a.sample_std == pytest.approx(math.sqrt(11) * draws.std(), rel=0.08)
-    assert run(basket, 4).sample_mean != a.sample_mean
-
-
 def test_pair_products(spark):
     rng = random.Random(4)
     rows = [(g, c, o, i, rng.uniform(-3, 3)) for g in (1, 2)
