@@ -42,7 +42,7 @@ LENGTH = 400
 CONTEXT, MEAN = 8, 40
 BLOCK = 1 << 16  # bytes hashed at once
 SLICE = 1 << 18  # bytes of texts parsed at once, but for a longer text
-RUN_BYTES = 12 << 20  # strings of one sorted run
+RUN_BYTES = 20 << 20  # strings of one sorted run
 PART_BYTES = 32 << 20  # strings that a part should hold
 SIDE = 48  # bytes on both sides of a window without a cut that stand as they are
 NAME = 6  # bytes of a name in the strings of the first sort
@@ -270,12 +270,29 @@ def _bounds(rows: DataFrame, make: Callable, n: int) -> list[tuple[bytes, dict]]
     return out
 
 
+MARK_BITS = 9  # a string holds at most LENGTH + 1 names
+
+
+def _packed(t: np.ndarray, *counts: np.ndarray | int) -> np.ndarray:
+    """t, most, other and both same in one long, each count in MARK_BITS bits, one above it."""
+    mark = np.asarray(t, np.int64)
+    for c in counts:
+        mark = mark << MARK_BITS | np.asarray(c, np.int64) + 1
+    return mark
+
+
+def _unpacked(mark: np.ndarray) -> list[np.ndarray]:
+    low = (1 << MARK_BITS) - 1
+    counts = [(mark >> MARK_BITS * k & low) - 1 for k in (3, 2, 1, 0)]
+    return [mark >> 4 * MARK_BITS, *counts]
+
+
 def shared_names(texts: DataFrame) -> DataFrame:
-    """(d, th, marks): for each suffix of the parse (t, most, other, same).
+    """(d, th, mark): for each suffix of the parse t, most, other and same, packed in a long.
 
     most is the number of names it shares with any other suffix; other is that shared with a
-    neighbour in the order that has another piece before, same that with one that has the same
-    and goes on in another way (-1: none).
+    neighbour in the order that has another piece before, same those with the at most two that
+    have the same and go on in another way (-1: none).
     """
     bounds = _bounds(texts, parse_suffixes, texts.count())
     cuts = [b for b, _ in bounds]
@@ -335,31 +352,27 @@ def shared_names(texts: DataFrame) -> DataFrame:
             payload = {k: np.append(v, tail[1][k]) for k, v in payload.items()}
         else:
             most, other, same = most[:n], other[:n], same[:n]
-        both = (same[:, 0] >= 0) & (same[:, 1] >= 0)
-        first = np.maximum(same[:, 0], same[:, 1])
-        second = np.minimum(same[:, 0], same[:, 1])[both]
         copies = {k: np.concatenate([r[5][k] for r in runs if r[5]] or [np.zeros(0, np.int64)])
                   for k in ("d", "th", "t", "names")}
-        none = np.full(len(copies["d"]), -1, np.int32)
         return pa.table({
-            **{k: np.concatenate([payload[k], payload[k][both], copies[k]]).astype(kind)
-               for k, kind in (("d", np.int64), ("th", np.int32), ("t", np.int32))},
-            "most": np.concatenate([most, most[both], copies["names"]]).astype(np.int32),
-            "other": np.concatenate([other, other[both], none]),
-            "same": np.concatenate([first, second, none])})
+            "d": np.concatenate([payload["d"], copies["d"]]).astype(np.int64),
+            "th": np.concatenate([payload["th"], copies["th"]]).astype(np.int32),
+            "mark": np.concatenate([
+                _packed(payload["t"], most, other, same[:, 0], same[:, 1]),
+                _packed(copies["t"], copies["names"], -1, -1, -1)])})
 
     return texts.mapInArrow(deal, "part int, piece binary").groupBy("part").applyInArrow(
-        merge, "d long, th int, t int, most int, other int, same int")
+        merge, "d long, th int, mark long")
 
 
 def open_windows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict, dict]]:
     """Per text the windows that the parse leaves open, and settled (d, th, start, n) of others.
 
-    The batch has d, th, text and marks, a list of (t, most, other, same).
+    The batch has d, th, text and marks, a list of the longs of `shared_names`.
     """
     lists = batch.column("marks")
     flat, offset = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    field = [flat.field(i).to_numpy() for i in range(4)]
+    field = _unpacked(flat.to_numpy())
     d, th = batch.column("d").to_numpy(), batch.column("th").to_numpy()
     texts = _texts(batch)
     parsed = Parsed(texts)
@@ -368,11 +381,12 @@ def open_windows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], dict, dic
         if n_starts < 1:
             continue
         a = parsed.cuts(i)
-        t, most, other, same = (f[offset[i]:offset[i + 1]] for f in field)
+        t, most, other, *same = (f[offset[i]:offset[i + 1]] for f in field)
         whole, differs = np.zeros(len(a) + 2, np.int64), np.full(len(a) + 2, -1)
         np.maximum.at(whole, t, most)
         np.maximum.at(differs, t, other)
-        goes_on = set(zip(t[same >= 0].tolist(), same[same >= 0].tolist(), strict=True))
+        goes_on = {x for s in same for x in zip(t[s >= 0].tolist(), s[s >= 0].tolist(),
+                                                strict=True)}
         # Windows from one event to the next have the same first and last cut inside.
         event = np.unique(np.concatenate([[0], a - CONTEXT + 1, a - LENGTH]))
         event = event[(event >= 0) & (event < n_starts)]
@@ -483,10 +497,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     texts = stored(repeated_pieces(found), "suffix-texts")
     names = stored(shared_names(texts), "suffix-names")
     bare = found.where("state = 3").select(
-        "d", "th", F.lit(0).alias("t"), F.lit(0).alias("most"), F.lit(-1).alias("other"),
-        F.lit(-1).alias("same"))
+        "d", "th", F.lit(1 << 3 * MARK_BITS).cast("long").alias("mark"))  # shares no name
     marks = names.union(bare).groupBy("d", "th").agg(
-        F.collect_list(F.struct("t", "most", "other", "same")).alias("marks"))
+        F.collect_list("mark").alias("marks"))
     long = keyed.where(F.octet_length("text") >= LENGTH)
     once = long.select("d", "th", "text").join(marks, ["d", "th"])
     windows = stored(repeated_windows(once, texts.count()), "suffix-windows")
