@@ -13,10 +13,11 @@ For 64 dimensions a pair at cosine 0.95 meets in one table with probability 0.69
 0.49 (three), so it is missed by all 8 or 16 tables with probability 1e-4 or 2e-5; closer pairs
 much more rarely. The tests measure recall against brute force.
 
-Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with
-nothing; vectors of one length are compared with each other only, whichever lengths there are; equal vectors are compared once and link with each
-other; rows of equal vec_id with different vectors count as linked rows but share a component;
-an empty table gives no rows; further columns are ignored.
+Defined cases: a vector that is null, empty, zero or holds null or non-finite components links
+with nothing; vectors of one length are compared with each other only, whichever lengths there
+are; equal vectors are compared once and link with each other; rows of equal vec_id with different
+vectors count as linked rows but share a component; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -94,8 +95,8 @@ def buckets(unit: np.ndarray, hashes: int, tables: int, probes: int = PROBES) ->
     return out.view(np.int64)
 
 
-def block_links(ids: np.ndarray, unit: Callable, files: np.ndarray, tables: int, bucket: int, left: np.ndarray,
-                right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def block_links(ids: np.ndarray, unit: Callable, files: np.ndarray, tables: int, bucket: int,
+                left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) of one bucket that reach the threshold and meet here first.
 
     `unit(rows)` gives the vectors, `files` all buckets they are filed under, in table order.

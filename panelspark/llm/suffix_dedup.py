@@ -14,8 +14,8 @@ strings are windows that occur twice. Both sorts are merge sorts of front-coded
 trees (`suffix_runs`).
 
 Windows without a cut (rare, or in texts of one repeated character) stand as the hash of their
-middle and the bytes on both sides. Pieces that occur once can't be part of the first sort: they are counted before it, where equal
-pieces of a task travel once. No pair of texts is formed anywhere.
+middle and the bytes on both sides. Pieces that occur once can't be part of the first sort: they
+are counted before it, where equal pieces of a task travel once. No pair of texts is formed anywhere.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all bytes; rows of equal id
 and text are texts of their own and repeat each other; a row without an id counts as any other;
