@@ -226,6 +226,31 @@ def fingerprint(r):
     return C.fingerprint(r.panel())
 
 
+def _portable_sql(text: str) -> str:
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _whole_sql(c: str) -> str:
+    return _portable_sql(f"CAST({c} AS VARCHAR)")
+
+
+def _millionths_sql(c: str) -> str:
+    return _portable_sql(f"CAST(CAST(round({c} * 1e6) AS HUGEINT) AS VARCHAR)")
+
+
+@query(f"""
+    WITH d AS (SELECT substr(md5({_whole_sql("player_id")} || {_whole_sql("gw")}), 1, 2) AS span,
+        md5({_whole_sql("gw")} || {_whole_sql("minutes")} || {_millionths_sql("now_cost")}
+            || {_whole_sql("player_id")} || {_whole_sql("starts")}
+            || {_millionths_sql("total_points")}) AS digest FROM panel)
+    SELECT span, count(*) AS rows,
+           CAST(sum(CAST('0x' || substr(digest, 1, 15) AS BIGINT)) AS VARCHAR) AS lane_0,
+           CAST(sum(CAST('0x' || substr(digest, 16, 15) AS BIGINT)) AS VARCHAR) AS lane_1
+    FROM d GROUP BY 1""")
+def fingerprint_ranges(r):
+    return C.fingerprint_ranges(r.panel(), ["player_id", "gw"])
+
+
 @query("""
     SELECT CAST(coalesce((SELECT max(gw) FROM panel), 0) AS BIGINT) AS current,
            CAST(coalesce((SELECT max(gw) FROM panel), 0) + 1 AS BIGINT) AS next,
