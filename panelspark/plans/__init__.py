@@ -10,6 +10,7 @@ def all_queries() -> dict[str, Query]:
         metric_queries,
         pair_queries,
         panel_queries,
+        source_queries,
         squad_queries,
     )
 

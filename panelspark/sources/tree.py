@@ -168,16 +168,19 @@ def _empty(spark: SparkSession, schema: T.StructType, season: str) -> DataFrame:
     return spark.createDataFrame([], schema).withColumn("season", F.lit(season))
 
 
-def load_season(spark: SparkSession, root: str, season: str) -> dict[str, DataFrame]:
-    """All tables of one season, repeated records removed.
+def load_season(spark: SparkSession, root: str, season: str,
+                tables: Sequence[str] = TABLES) -> dict[str, DataFrame]:
+    """Tables of one season (all unless named), repeated records removed.
 
     Statistics keep the row of the folder where a record first appeared; matches keep the
-    last one, since a postponed match comes again with its final score.
+    last one, since a postponed match comes again with its final score. Only the files of
+    the tables asked for are listed and read.
     """
     season_dir = f"{root}/{season}"
     layout = MODERN if detect_layout(season_dir, spark) == "modern" else LEGACY
     out = {}
-    for table, (pattern, reader) in layout.items():
+    for table in tables:
+        pattern, reader = layout[table]
         parts = read_csv(spark, f"{season_dir}/{pattern}") if pattern else []
         if not parts:
             if table in ("players", "teams"):
