@@ -11,11 +11,19 @@ fails validation is text again for the next step. A card number is a whole numbe
 groups: of a run of groups, the longest valid beginning is taken and the search goes on behind
 it, or one group further where none is valid. The country code fixes the length of an IBAN.
 
-Formats: e-mail addresses (the letters and digits of the local part), IPv4 addresses, payment
-card numbers of 13 to 19 digits with a right check digit (which is worked out anew), telephone
-numbers with a ten-digit national part, US social security numbers, IBANs with right check
-digits, and dates yyyy-mm-dd, mm/dd/yyyy and dd.mm.yyyy from 1900-01-01 to 2101-01-27. Digits go
-back between the separators of the original. What fails validation stays as it is.
+Formats: e-mail addresses (the letters and digits of the local part), IPv4 and IPv6 addresses
+(the latter by the digits written, of which one is decimal), payment card numbers of 13 to 19 digits with a right check
+digit (which is worked out anew), telephone numbers with a ten-digit national part, international
+numbers after + or 00 with 8 to 15 digits, national ones with a leading zero, a separator and 9 to
+12 digits, US social security numbers, IBANs with right check digits (in small letters where all
+behind the bank's first group are digits), and dates from 1900-01-01 to 2101-01-27: yyyy-mm-dd,
+yyyy/mm/dd, mm/dd/yyyy (where that is no date: dd/mm/yyyy), dd.mm.yyyy, dd-mm-yyyy (else
+mm-dd-yyyy), days and months also of one digit. Digits go back between the separators of the
+original; country code and trunk zero are kept, so a national and an international form of a
+number stay linked (ten national digits keep the class of area and exchange, others whether they
+begin with zero). Letters of a local part beyond ASCII are
+permuted among those of Latin-1 of their case, later ones in their block of 16 code points. What
+fails validation stays as it is.
 
 Defined cases: a null text stays null; rows are independent, so ties, repeated rows and empty
 tables need no rule; further columns stay; a text of any length is handled whole.
@@ -31,7 +39,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.shared import free_name
 
 ROUNDS = 10
-EMAIL = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@"
+LOCAL = r"A-Za-z0-9\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{M}._%+-"
+EMAIL = (rf"(?<![{LOCAL}])[{LOCAL}]++@"
          r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}")
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI",
@@ -52,26 +61,43 @@ def _iban() -> str:
     known = [f"(?:{'|'.join(c.split())})\\d{{2}}{groups(n)}" for n, c in IBAN_LENGTHS.items()]
     codes = "|".join(" ".join(IBAN_LENGTHS.values()).split())
     other = rf"(?!{codes})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
-    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+    small = [f"(?:{'|'.join(c.lower().split())})\\d{{2}} ?[a-z0-9]{{4}}(?: ?\\d{{4}}){{{(n - 8) // 4}}}"
+             + (f" ?\\d{{{(n - 8) % 4}}}" if (n - 8) % 4 else "") for n, c in IBAN_LENGTHS.items()]
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, other, *small])})(?![A-Za-z0-9])"
 
 
 IBAN = _iban()
 IPV4 = r"(?<![0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![0-9]|\.[0-9])"
-DATE = (r"(?<![0-9/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
-        r"(?![0-9]|[/.-][0-9])")
+IPV6 = (r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{2,39}"
+        r"(?![0-9A-Za-z:]|\.[0-9])")
+# Forms of dates and the patterns that read and write them, the first that reads one holding.
+DATES = {
+    r"\d{4}-\d{2}-\d{2}": ("yyyy-MM-dd",), r"\d{4}/\d{2}/\d{2}": ("yyyy/MM/dd",),
+    r"\d{2}/\d{2}/\d{4}": ("MM/dd/yyyy", "dd/MM/yyyy"), r"\d{2}\.\d{2}\.\d{4}": ("dd.MM.yyyy",),
+    r"\d{2}-\d{2}-\d{4}": ("dd-MM-yyyy", "MM-dd-yyyy"),
+    r"\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy", "d/M/yyyy"), r"\d{1,2}\.\d{1,2}\.\d{4}": ("d.M.yyyy",),
+    r"\d{1,2}-\d{1,2}-\d{4}": ("d-M-yyyy", "M-d-yyyy")}
+DATE = rf"(?<![0-9/.-])(?:{'|'.join(DATES)})(?![0-9]|[/.-][0-9])"
 SSN = r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9]|-[0-9])"
 PHONE = (r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}"
          r"(?![0-9])")
+# Calling codes of one and two digits; all others have three.
+CALLING_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+ABROAD = (r"(?<![0-9A-Za-z+])(?:\+[1-9](?:[ .()/-]{0,3}\d){7,14}"
+          r"|(?<![0-9][ /-])00[1-9]\d{0,2}[ /-](?:[ ()/-]{0,2}\d){6,12})(?![0-9A-Za-z])")
+HOME = (r"(?<![0-9A-Za-z+.,/-])(?<![0-9] )0[1-9]\d{0,3}(?:[ /.-]\d{2,8}){1,4}"
+        r"(?![0-9A-Za-z]|[ /.,-][0-9])")
 # Digit groups that may hold card numbers, and one of them with what separates it from the next.
 RUN = r"(?<![0-9A-Za-z])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z])"
 GROUP = r"[0-9]+[ -]*"
 # Stand for the values taken in the first and the second step; such characters of the text
 # itself are taken like values.
 MARKS = ("\ue000", "\ue001")
-STEPS = ("|".join((f"[{''.join(MARKS)}]", EMAIL, IBAN)), "|".join((IPV4, DATE, SSN, PHONE)))
+STEPS = ("|".join((f"[{''.join(MARKS)}]", EMAIL, IBAN)), "|".join((
+    IPV4, IPV6, DATE, SSN, PHONE, ABROAD, HOME)))
 # Every format has an @ or two digits next to each other, or one digit before a dot or before a
-# space or hyphen and a digit.
-HINT = r"@|[0-9][0-9.]|[0-9][ -][0-9]"
+# space or hyphen and a digit, or two colons.
+HINT = r"@|[0-9][0-9.]|[0-9][ -][0-9]|::"
 DAYS = 271  # 271 * 271 days from 1900-01-01
 
 
@@ -101,11 +127,13 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def filled(form: Column, new: Column) -> Column:
-    """`form` with its digits replaced in turn by those of `new`."""
+def filled(form: Column, new: Column, kind: str = "0-9") -> Column:
+    """`form` with its digits, characters of `kind`, replaced in turn by those of `new`."""
+    def before(i: Column) -> Column:
+        return F.length(F.regexp_replace(F.substr(form, F.lit(1), i + 1), f"[^{kind}]", ""))
+
     return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(
-        c.rlike("[0-9]"), F.substr(new, F.length(digits(F.substr(form, F.lit(1), i + 1))),
-                                   F.lit(1))).otherwise(c)), "")
+        c.rlike(f"[{kind}]"), F.substr(new, before(i), F.lit(1))).otherwise(c)), "")
 
 
 def power(base: int, n: Column) -> Column:
@@ -219,6 +247,42 @@ def phone(m: Column, key: str) -> Column:
     return bound(digits(m), new)
 
 
+def permuted_number(value: Column, tweak: str, key: str) -> Column:
+    """2 to 30 digits permuted among those of the length that begin with zero, or don't, like it."""
+    n = F.length(value)
+    half = F.floor(n / 2).cast("int")
+    unit = power(10, half - 1)
+    zero = F.startswith(value, F.lit("0"))
+    low = F.when(zero, 0).otherwise(unit)
+    place = feistel(F.substr(value, F.lit(1), half).cast("long") - low,
+                    F.substr(value, half + 1).cast("long"),
+                    F.when(zero, unit).otherwise(9 * unit), power(10, n - half),
+                    F.concat(F.lit(tweak), n.cast("string"), F.when(zero, "z").otherwise("")), key)
+    return bound(place, lambda s: F.concat(
+        F.lpad((s["l"] + low).cast("string"), half, "0"),
+        F.lpad(s["r"].cast("string"), n - half, "0")))
+
+
+def dialled(m: Column, key: str) -> Column:
+    """A telephone number; of international ones and those with a trunk zero, ten national digits
+    go like `phone`."""
+    form = F.replace(m, F.lit("(0)"), F.lit("(o)"))     # a trunk zero in brackets is kept
+
+    def new(d: Column) -> Column:
+        abroad = F.startswith(m, F.lit("+")) | F.startswith(m, F.lit("00"))
+        head = F.when(abroad, F.regexp_extract(
+            d, rf"^(?:00)?(?:{CALLING_CODES}|\d{{3}})", 0)).otherwise(F.lit("0"))
+        rest = F.substr(d, F.length(head) + 1)
+        size = F.length(d) - F.when(F.startswith(m, F.lit("00")), 2).otherwise(0)
+        valid = F.when(abroad, size.between(8, 15) & (F.length(rest) > 4)
+                       & ~m.rlike(r"^\+\d+\.\d+$")).otherwise(size.between(9, 12))
+        ten = m.rlike(f"^{PHONE}$") | (valid & (F.length(rest) == 10))
+        return F.when(ten, phone(form, key)).when(valid, bound(
+            rest, lambda r: filled(form, F.concat(head, permuted_number(r, "dialled", key)))))
+
+    return F.replace(bound(digits(form), new), F.lit("(o)"), F.lit("(0)"))
+
+
 def ssn(m: Column, key: str) -> Column:
     area, group = F.substr(m, F.lit(1), F.lit(3)).cast("int"), F.substr(
         m, F.lit(5), F.lit(2)).cast("int")
@@ -249,15 +313,60 @@ def ipv4(m: Column, key: str) -> Column:
     return bound(F.split(m, r"\."), new)
 
 
-def date(m: Column, pattern: str, key: str) -> Column:
-    def new(day: Column) -> Column:
-        place = feistel(F.floor(day / DAYS), day % DAYS, F.lit(DAYS), F.lit(DAYS),
+def permuted_hex(value: Column, tweak: str, key: str) -> Column:
+    """Up to 16 hexadecimal digits, in small letters, permuted among those of the length."""
+    half = F.floor(F.length(value) / 2).cast("int")
+    rest = F.length(value) - half
+
+    def number(text: Column) -> Column:
+        return F.coalesce(F.conv(F.nullif(text, F.lit("")), 16, 10).cast("long"), F.lit(0))
+
+    def text(n: Column, size: Column) -> Column:
+        return F.when(size > 0, F.lpad(F.lower(F.conv(n.cast("string"), 10, 16)), size, "0")
+                      ).otherwise("")
+
+    place = feistel(number(F.substr(value, F.lit(1), half)), number(F.substr(value, half + 1)),
+                    power(16, half), power(16, rest),
+                    F.concat(F.lit(tweak), F.length(value).cast("string")), key)
+    return bound(place, lambda s: F.concat(text(s["l"], half), text(s["r"], rest)))
+
+
+def ipv6(m: Column, key: str) -> Column:
+    """Of eight groups, or fewer and one `::`; the digits written are permuted."""
+    groups = F.filter(F.split(m, ":"), lambda g: g != "")
+    gaps = F.size(F.split(m, "::")) - 1
+    valid = (m.rlike("[0-9]") & ~F.contains(m, F.lit(":::")) & ~F.exists(groups, lambda g: F.length(g) > 4)
+             & F.when(gaps == 0, (F.size(groups) == 8) & m.rlike("^[^:].*[^:]$"))
+             .otherwise((gaps == 1) & F.size(groups).between(2, 7)
+                        & ~m.rlike("^:[^:]|[^:]:$")))
+
+    def new(d: Column) -> Column:
+        fresh = F.concat(permuted_hex(F.substr(d, F.lit(1), F.lit(16)), "ipv6-0-", key),
+                         F.when(F.length(d) > 16, permuted_hex(F.substr(d, F.lit(17)), "ipv6-1-",
+                                                               key)).otherwise(""))
+        return F.when(F.lower(m) == m, fresh).otherwise(F.upper(fresh))
+
+    fresh = bound(F.lower(F.replace(m, F.lit(":"), F.lit(""))), new)
+    return F.when(valid, bound(fresh, lambda v: filled(m, v, "0-9A-Fa-f")))
+
+
+def date(m: Column, key: str) -> Column:
+    """A date of one of the forms, written by the pattern that reads it."""
+    first = F.lit("1900-01-01").cast("date")
+
+    def read(form: str, pattern: str) -> Column:
+        day = F.when(m.rlike(f"^{form}$"), F.datediff(F.try_to_date(m, pattern), first))
+        return F.when(day.between(0, DAYS * DAYS - 1), F.struct(
+            day.alias("day"), F.lit(pattern).alias("pattern")))
+
+    def new(d: Column) -> Column:
+        place = feistel(F.floor(d["day"] / DAYS), d["day"] % DAYS, F.lit(DAYS), F.lit(DAYS),
                         F.lit("date"), key)
-        return F.when(day.between(0, DAYS * DAYS - 1), bound(place, lambda s: F.date_format(
-            F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * DAYS + s["r"]).cast("int")),
-            pattern)))
+        return F.when(d.isNotNull(), bound(place, lambda s: F.call_function(
+            "date_format", F.date_add(first, (s["l"] * DAYS + s["r"]).cast("int")),
+            d["pattern"])))
 
-    return bound(F.datediff(F.try_to_date(m, pattern), F.lit("1900-01-01").cast("date")), new)
+    return bound(F.coalesce(*[read(form, p) for form, ps in DATES.items() for p in ps]), new)
 
 
 def _mod97(text: Column) -> Column:
@@ -281,22 +390,39 @@ def iban(m: Column, key: str) -> Column:
         fresh = filled(own, permuted_digits(digits(own), "iban", key))
         return F.when(ok, bound(fresh, whole))
 
-    return bound(F.replace(m, F.lit(" ")), new)
+    return bound(F.upper(F.replace(m, F.lit(" "))), new)
+
+
+# Letters of Latin-1 by case, where the multiplication and division signs are left out, and the
+# letters after them.
+SMALL, LARGE, LATER = "[\u00e0-\u00f6\u00f8-\u00ff]", "[\u00c0-\u00d6\u00d8-\u00de]", "[\u0100-\uffff]"
 
 
 def _radix(c: Column) -> Column:
-    return F.when(c.rlike("[A-Za-z]"), 26).when(c.rlike("[0-9]"), 10).otherwise(1).cast("long")
+    return (F.when(c.rlike("[A-Za-z]"), 26).when(c.rlike("[0-9]"), 10).when(c.rlike(SMALL), 31)
+            .when(c.rlike(LARGE), 30).when(c.rlike(LATER) & c.rlike(r"\p{L}"), 16)
+            .otherwise(1).cast("long"))
 
 
 def _place(c: Column) -> Column:
-    return F.when(c.rlike("[a-z]"), F.ascii(c) - 97).when(
-        c.rlike("[A-Z]"), F.ascii(c) - 65).when(
-        c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(0).cast("long")
+    code = F.ascii(c)
+    return (F.when(c.rlike("[a-z]"), code - 97).when(c.rlike("[A-Z]"), code - 65)
+            .when(c.rlike("[0-9]"), code - 48)
+            .when(c.rlike(SMALL), code - 0xE0 - (code > 0xF7).cast("int"))
+            .when(c.rlike(LARGE), code - 0xC0 - (code > 0xD7).cast("int"))
+            .when(c.rlike(LATER), code % 16).otherwise(0).cast("long"))
 
 
 def _char(c: Column, n: Column) -> Column:
+    def wide(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.conv(code.cast("string"), 10, 16), 4, "0")), "UTF-16BE")
+
     first = F.when(c.rlike("[a-z]"), 97).when(c.rlike("[A-Z]"), 65).otherwise(48)
-    return F.when(c.rlike("[A-Za-z0-9]"), F.char((n + first).cast("int"))).otherwise(c)
+    return (F.when(c.rlike("[A-Za-z0-9]"), F.char((n + first).cast("int")))
+            .when(c.rlike(SMALL), wide(n + 0xE0 + (n > 22).cast("int")))
+            .when(c.rlike(LARGE), wide(n + 0xC0 + (n > 22).cast("int")))
+            .when(c.rlike(LATER) & c.rlike(r"\p{L}"), wide(F.ascii(c) - F.ascii(c) % 16 + n))
+            .otherwise(c))
 
 
 def permuted_name(part: Column, tweak: Column, key: str) -> Column:
@@ -339,13 +465,11 @@ def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a value found in the first two steps, or null where it isn't valid."""
     return (F.when(m.isin(*MARKS), m)
             .when(F.contains(m, F.lit("@")), email(m, key))
-            .when(m.rlike("^[A-Z]"), iban(m, key))
+            .when(F.contains(m, F.lit(":")), ipv6(m, key))
+            .when(m.rlike("^[A-Za-z]"), iban(m, key))
             .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ipv4(m, key))
-            .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), date(m, "yyyy-MM-dd", key))
-            .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), date(m, "MM/dd/yyyy", key))
-            .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), date(m, "dd.MM.yyyy", key))
-            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(m, key))
-            .otherwise(phone(m, key)))
+            .when(m.rlike(f"^(?:{'|'.join(DATES)})$"), date(m, key))
+            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(m, key)).otherwise(dialled(m, key)))
 
 
 def filled_gaps(text: Column, pattern: str, values: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import ipaddress
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -135,6 +138,86 @@ def test_valid_numbers_beside_others_are_replaced(spark):
         assert r.n == sum(text.count(v) for v in values), (text, r.n)
 
 
+# Text and form of its pseudonym: values of the corpus' languages.
+FORMS = [
+    ("+49 30 1234567", r"\+49 [1-9]\d \d{7}"), ("+33 1 23 45 67 89", r"\+33 [1-9]( \d\d){4}"),
+    ("+44 20 7946 0958", r"\+44 [2-9]\d \d{4} \d{4}"), ("0171 2345678", r"0[01]\d\d \d{7}"),
+    ("030/1234567", r"0[1-9]\d/\d{7}"), ("01 23 45 67 89", r"0[1-9]( \d\d){4}"),
+    ("0049 30 1234567", r"0049 [1-9]\d \d{7}"), ("+49 (0)30 1234567", r"\+49 \(0\)[1-9]\d \d{7}"),
+    ("+1 857 555 9245", r"\+1 [2-9]\d\d [2-9]\d\d \d{4}"),
+    ("de89 3704 0044 0532 0130 00", r"de\d\d \d{4} \d{4} \d{4} \d{4} \d\d"),
+    ("2024/03/12", r"\d{4}/\d\d/\d\d"), ("3.4.2021", r"\d{1,2}\.\d{1,2}\.\d{4}"),
+    ("12-03-2024", r"\d\d-\d\d-\d{4}"), ("31/12/1999", r"\d\d/\d\d/\d{4}"),
+    ("7/4/1776 7/4/1976", r"7/4/1776 \d{1,2}/\d{1,2}/\d{4}"),
+    ("2001:db8:85a3:0:0:8a2e:370:7334", "([0-9a-f]{1,4}:){7}[0-9a-f]{4}"),
+    ("FE80::1A:2b", "[0-9A-F]{4}::[0-9A-F]{2}:[0-9A-F]{2}"),
+    ("m\u00fcller@web.de", "[a-z][\u00e0-\u00ff][a-z]{4}@web\\.de"),
+    ("\u00c9va.\u010dern\u00fd@x.org", "[\u00c0-\u00de][a-z]{2}\\.[\u0100-\u010f][a-z]{3}[\u00e0-\u00ff]@x\\.org"),
+    ("\u0438\u0432\u0430\u043d@x.org", "[\u0430-\u043f]{4}@x\\.org"),
+]
+PLAIN = ["12:34:56", "std::vector a::b", "+1.23456789", "::", "1:2:3:4:5:6:7", "2024/13/12",
+         "31.2.2021", "0171", "1 +2 3", "at 10 000 000", "00123456789", "no 0171 23", "1:::2::3",
+         "de88 3704 0044 0532 0130 00", "\u8054\u7cfb 12.5.3"]
+
+
+def test_pseudonyms_of_other_countries_forms(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FORMS)],
+                                 "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, "k", found="n").collect()}
+    for i, (text, form) in enumerate(FORMS):
+        assert re.fullmatch(form, got[i].text) and got[i].text != text, (text, got[i].text)
+        assert got[i].n == 1, text
+    number = [re.sub(r"\D", "", got[i].text.replace("(0)", "")) for i in range(len(FORMS))]
+    assert number[0] == number[7] == number[6][2:] and number[0][2:] == number[4][1:]
+    assert number[1][2:] == number[5][1:]                       # national and international
+    plain = spark.createDataFrame(list(enumerate(PLAIN)), "doc_id int, text string")
+    assert {r.doc_id: r.text for r in pii.pseudonymised(plain, "k").collect()} == dict(
+        enumerate(PLAIN))
+
+
+def feistel(left, right, a, b, tweak, key):
+    """The permutation once more in plain Python."""
+    for i in range(pii.ROUNDS):
+        other = left if i % 2 else right
+        h = int(hashlib.sha256(f"{key}|{tweak}|{i}|{other}".encode()).hexdigest()[:15], 16)
+        left, right = (left, (right + h % b) % b) if i % 2 else ((left + h % a) % a, right)
+    return left, right
+
+
+def test_number_forms_equal_a_second_implementation(spark):
+    """Dialled numbers, dates and IPv6 addresses value by value, and no two become one."""
+    rng = random.Random(5)
+    want = {}
+    for _ in range(150):
+        n = str(rng.randint(1, 9)) + "".join(rng.choices("0123456789", k=rng.choice([6, 7, 8])))
+        half = len(n) // 2
+        unit = 10 ** (half - 1)
+        left, right = feistel(int(n[:half]) - unit, int(n[half:]), 9 * unit,
+                              10 ** (len(n) - half), f"dialled{len(n)}", "k")
+        new = f"{left + unit}{right:0{len(n) - half}d}"
+        want[f"+49 {n[:2]} {n[2:]}"] = f"+49 {new[:2]} {new[2:]}"
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73441))
+        left, right = feistel(*divmod((day - datetime.date(1900, 1, 1)).days, 271), 271, 271,
+                              "date", "k")
+        moved = datetime.date(1900, 1, 1) + datetime.timedelta(left * 271 + right)
+        want[f"{day.day}.{day.month}.{day.year}"] = (
+            f"{moved:%d.%m.%Y}" if day.day > 9 and day.month > 9
+            else f"{moved.day}.{moved.month}.{moved.year}")
+        words = [f"{rng.randrange(65536):04x}" for _ in range(8)]
+        parts = []
+        for k in (0, 1):
+            text = "".join(words[4 * k:4 * k + 4])
+            left, right = feistel(int(text[:8], 16), int(text[8:], 16), 16 ** 8, 16 ** 8,
+                                  f"ipv6-{k}-16", "k")
+            parts.append(f"{left:08x}{right:08x}")
+        new = "".join(parts)
+        want[":".join(words)] = ":".join(new[i:i + 4] for i in range(0, 32, 4))
+    texts = list(want)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {texts[r.doc_id]: r.text for r in pii.pseudonymised(docs, "k").collect()}
+    assert got == want and len(set(got.values())) == len(got)
+
+
 def test_pseudonyms_are_permutations(spark):
     """All 20 * 10 * 26 values of a small format have different pseudonyms, the same anywhere."""
     rows = [(f"{a}{b}{c}@x.org",) for a in "abcdefghij" for b in range(10) for c in "klmnopqrst"]
